@@ -170,8 +170,9 @@ def carry_forward(
     bucket: str,
     order: Sequence[str],
     values: Mapping[str, Column],
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Add, per name, the last non-null value at or before each row in ``order``."""
+    """Add, per name, the last non-null value at (if inclusive) or before each row in ``order``."""
     staged = df.withColumns({f"_v_{n}": v for n, v in values.items()})
     group = [*keys, bucket]
     at = F.struct(*[F.col(c) for c in order])
@@ -182,7 +183,7 @@ def carry_forward(
     carried = summary.select(
         *group, *[F.last(f"_s_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in values]
     )
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = staged.join(carried, group, "left").withColumns(
         {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")) for n in values}
     )

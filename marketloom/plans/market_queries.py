@@ -92,7 +92,7 @@ query(
 query(
     "gap_minutes",
     sql(
-        f"SELECT instrument, time, event_id, R6(epoch_us(time) / 60000000.0 - epoch_us({lag('time')}) / 60000000.0) "
+        f"SELECT instrument, time, event_id, R6((epoch_us(time) - epoch_us({lag('time')})) / 60000000.0) "
         "AS gap_minutes FROM ticks",
         "ticks",
     ),
