@@ -188,3 +188,20 @@ def carry_forward(
         {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")) for n in values}
     )
     return out.drop(*[p + n for n in values for p in ("_v_", "_c_")])
+
+
+def cumulative(
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], sums: Mapping[str, Column]
+) -> DataFrame:
+    """Add, per name, the running sum up to each row: in-bucket sums plus bucket offsets."""
+    staged = df.withColumns({f"_v_{n}": c for n, c in sums.items()})
+    group = [*keys, bucket]
+    totals = staged.groupBy(*group).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        staged.join(offsets, group)
+        .withColumns({n: F.sum(f"_v_{n}").over(inside) + F.col(f"_o_{n}") for n in sums})
+        .drop(*[p + n for n in sums for p in ("_v_", "_o_")])
+    )

@@ -158,8 +158,12 @@ def difference(c: Context, value: str = "close", lag: int = 1, order: int | None
 
 
 def sigfigs(x: Column, digits: int = 4) -> Column:
-    """Round to significant figures through the decimal text of the number."""
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.format_string(f"%.{digits - 1}e", x.cast("double")).cast("double"))
+    """Round to significant figures, halves to even as decimal formatting does."""
+    x = x.cast("double")
+    shift = F.floor(F.log10(F.abs(x))) - (digits - 1)
+    scale = F.pow(F.lit(10.0), F.abs(shift))
+    rounded = F.when(shift >= 0, F.rint(x / scale) * scale).otherwise(F.rint(x * scale) / scale)
+    return F.when(x == 0, F.lit(0.0)).otherwise(rounded)
 
 
 def round_sigfigs(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:

@@ -11,11 +11,14 @@ from ..schemas import ARTICLE
 TRACKING_FILE = "seen_articles.json"
 
 
-def read_articles_json(spark: SparkSession, path: str) -> DataFrame:
-    """All article files below ``path``; the tracking file and unreadable files are skipped."""
+def read_articles_json(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """All article files below ``path``; the tracking file and unreadable files are skipped.
+
+    ``one_per_file=False`` reads compacted files with one article per line, which split.
+    """
     return (
         spark.read.schema(ARTICLE)
-        .option("multiLine", True)
+        .option("multiLine", one_per_file)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
         .option("mode", "DROPMALFORMED")
