@@ -157,13 +157,34 @@ def difference(c: Context, value: str = "close", lag: int = 1, order: int | None
     return FeatureSet([*layers, {f"{value}_diff": F.col(f"_d{order}")}], order)
 
 
+def _product_error(a: Column, b: Column, p: Column) -> Column:
+    """a * b - p without rounding, from products of half-width parts."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        c = x * 134_217_729.0
+        high = c - (c - x)
+        return high, x - high
+
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    return ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
 def sigfigs(x: Column, digits: int = 4) -> Column:
-    """Round to significant figures, halves to even as decimal formatting does."""
+    """Round to significant figures as decimal formatting of the exact binary value does.
+
+    Only an exact half of the scaled value is ambiguous; the sign of the scaling error decides it.
+    """
     x = x.cast("double")
     shift = F.floor(F.log10(F.abs(x))) - (digits - 1)
     scale = F.pow(F.lit(10.0), F.abs(shift))
-    rounded = F.when(shift >= 0, F.rint(x / scale) * scale).otherwise(F.rint(x * scale) / scale)
-    return F.when(x == 0, F.lit(0.0)).otherwise(rounded)
+    scaled = F.when(shift >= 0, x / scale).otherwise(x * scale)
+    rest = F.when(shift >= 0, (x - scaled * scale) - _product_error(scaled, scale, scaled * scale)).otherwise(
+        _product_error(x, scale, scaled)
+    )
+    low = F.floor(scaled)
+    half = scaled - low == 0.5
+    whole = F.when(half & (rest > 0), low + 1).when(half & (rest < 0), low).otherwise(F.rint(scaled)).cast("double")
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.when(shift >= 0, whole * scale).otherwise(whole / scale))
 
 
 def round_sigfigs(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:

@@ -1,7 +1,7 @@
 """Import every query module so that the catalogue is complete."""
 from __future__ import annotations
 
-from . import gold_queries, market_queries, model_queries, news_queries  # noqa: F401
+from . import gold_queries, market_queries, model_queries, news_queries, ops_queries  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 
