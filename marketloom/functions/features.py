@@ -18,17 +18,17 @@ class FeatureSet:
     layers: Sequence[Mapping[str, Column]]
     before: int
     after: int = 0
-    outputs: Sequence[str] = field(default_factory=tuple)
 
 
 @dataclass
 class Context:
     series: Series
     sub: int = SUB_ROWS
+    totals: dict[str, dict[str, Column]] = field(default_factory=dict)
 
     @property
     def rows(self) -> Rows:
-        return Rows(self.series)
+        return Rows(self.series, self.totals)
 
     @property
     def scan(self) -> ExpScan:
@@ -49,7 +49,7 @@ def compute(df: DataFrame, series: Series, builders: Sequence[Callable[[Context]
     """Add the columns of all builders in one shuffle."""
     ctx = Context(series)
     merged = combine([b(ctx) for b in builders])
-    return apply_layers(df, series, merged.layers, merged.before, merged.after, ctx.sub)
+    return apply_layers(df, series, merged.layers, merged.before, merged.after, ctx.sub, ctx.totals)
 
 
 def feature(build: Callable[..., FeatureSet]):

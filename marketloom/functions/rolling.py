@@ -12,11 +12,21 @@ from .series import POS, Series
 
 
 class Rows:
-    """Shorthand for expressions over the rows of a block."""
+    """Shorthand for expressions over the rows of a block.
 
-    def __init__(self, series: Series):
+    Rolling sums, means and presence counts are differences of running totals within the
+    block, so their cost does not grow with the frame.  Only the additions inside the frame
+    can round, and an unchanged total differs by exactly zero.  Deviations and extremes use
+    sliding frames, where differences of totals would lose digits.
+
+    ``totals`` collects the columns whose running totals the layers need; ``apply_layers``
+    adds them as soon as the column exists.
+    """
+
+    def __init__(self, series: Series, totals: dict[str, dict[str, Column]] | None = None):
         self.series = series
         self.w = series.rows()
+        self.totals = {} if totals is None else totals
 
     def lag(self, x, k: int = 1) -> Column:
         return F.lag(col(x), k).over(self.w)
@@ -33,26 +43,40 @@ class Rows:
     def frame(self, n: int, shift: int = 0):
         return self.w.rowsBetween(-(n - 1 + shift), -shift)
 
-    def _full(self, agg: Column, x, n: int, shift: int = 0) -> Column:
-        return F.when(F.count(col(x)).over(self.frame(n, shift)) == n, agg.over(self.frame(n, shift)))
+    def _total(self, x: str, kind: str) -> str:
+        """Name of the running sum or count of column ``x``."""
+        name = f"_{kind}_of_{x}"
+        running = self.w.rowsBetween(Window.unboundedPreceding, 0)
+        value = F.col(x).cast("double") if kind == "sum" else F.col(x)
+        total = F.sum(value) if kind == "sum" else F.count(value)
+        self.totals.setdefault(x, {})[name] = F.coalesce(total.over(running), F.lit(0))
+        return name
+
+    def _within(self, x: str, n: int, kind: str, shift: int = 0) -> Column:
+        name = self._total(x, kind)
+        upto = self.lag(name, shift) if shift else F.col(name)
+        return upto - F.coalesce(self.lag(name, n + shift), F.lit(0))
+
+    def _full(self, value: Column, x: str, n: int, shift: int = 0) -> Column:
+        return F.when(self._within(x, n, "count", shift) == n, value)
 
-    def mean(self, x, n: int) -> Column:
-        return self._full(F.avg(col(x)), x, n)
+    def mean(self, x: str, n: int) -> Column:
+        return self._full(self._within(x, n, "sum") / n, x, n)
 
-    def sum(self, x, n: int) -> Column:
-        return self._full(F.sum(col(x)), x, n)
+    def sum(self, x: str, n: int) -> Column:
+        return self._full(self._within(x, n, "sum"), x, n)
 
-    def std(self, x, n: int) -> Column:
-        return self._full(F.stddev_samp(col(x)), x, n)
+    def std(self, x: str, n: int) -> Column:
+        return self._full(F.stddev_samp(col(x)).over(self.frame(n)), x, n)
 
-    def var(self, x, n: int) -> Column:
-        return self._full(F.var_samp(col(x)), x, n)
+    def var(self, x: str, n: int) -> Column:
+        return self._full(F.var_samp(col(x)).over(self.frame(n)), x, n)
 
-    def max(self, x, n: int, shift: int = 0) -> Column:
-        return self._full(F.max(col(x)), x, n, shift)
+    def max(self, x: str, n: int, shift: int = 0) -> Column:
+        return self._full(F.max(col(x)).over(self.frame(n, shift)), x, n, shift)
 
-    def min(self, x, n: int, shift: int = 0) -> Column:
-        return self._full(F.min(col(x)), x, n, shift)
+    def min(self, x: str, n: int, shift: int = 0) -> Column:
+        return self._full(F.min(col(x)).over(self.frame(n, shift)), x, n, shift)
 
 
 def decay(span: float) -> float:

@@ -62,7 +62,7 @@ class Series:
     keys: tuple[str, ...] = ("instrument",)
     time: str = "time"
     step: int | None = 60
-    block: int = 16_384
+    block: int = 8_192
     bucket: int = 86_400
     ties: tuple[str, ...] = ()
 
@@ -136,7 +136,16 @@ def split_blocks(
         df = df.withColumn(BLOCK, F.col("_home"))
     else:
         df = df.withColumn(BLOCK, F.explode(F.array_compact(F.array(*targets))))
-    return df.withColumn(SUB, floor_div(F.col(POS), sub))
+    df = df.withColumn(SUB, floor_div(F.col(POS), sub))
+    # The work per row is far above its size: a fixed count keeps small inputs from being
+    # coalesced into one task.
+    return df.repartition(task_count(df), *series.keys, BLOCK)
+
+
+def task_count(df: DataFrame) -> int:
+    """Tasks for compute-heavy stages: the configured shuffle width, at least twice the cores."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
 def home_rows(df: DataFrame) -> DataFrame:
@@ -152,15 +161,24 @@ def apply_layers(
     before: int,
     after: int = 0,
     sub: int = 1_024,
+    totals: Mapping[str, Mapping[str, Column]] | None = None,
 ) -> DataFrame:
     """Evaluate feature layers over blocks: one shuffle and one sort for all of them.
 
     Layer k may refer to columns of the layers below it.  ``before``/``after`` is the
-    summed reach of the layers; helper columns start with an underscore.
+    summed reach of the layers; ``totals`` are running totals per column, added once the
+    column is there; helper columns start with an underscore.
     """
     blocked = split_blocks(df, series, before, after, sub)
+    there = set(blocked.columns)
+    waiting = dict(totals or {})
     for layer in layers:
+        ready = [x for x in waiting if x in there]
+        running = {n: c for x in ready for n, c in waiting.pop(x).items()}
+        if running:
+            blocked = blocked.withColumns(running)
         blocked = blocked.withColumns(dict(layer))
+        there.update(layer)
     return home_rows(blocked)
 
 

@@ -31,7 +31,8 @@ def snapshot_features(df: DataFrame, series: Series = Series(), rows: int = 200,
     the regime compares 20 with 50 rows.  At most ``rows`` bars per series take part.
     """
     own = series.with_step(None)
-    r, scan = Rows(own), ExpScan(own, SUB_ROWS)
+    totals: dict = {}
+    r, scan = Rows(own, totals), ExpScan(own, SUB_ROWS)
     c, v = F.col("close"), F.col("volume")
     hl = F.col("high") - F.col("low")
 
@@ -109,4 +110,4 @@ def snapshot_features(df: DataFrame, series: Series = Series(), rows: int = 200,
         *scan.std_layers("ewma_vol", "return_1", 20), {"is_last": F.col("_last")},
     ]
     tail = newest_bars(df, own, rows, minimum)
-    return apply_layers(tail, own, layers, 0, sub=SUB_ROWS).filter("is_last").drop("is_last")
+    return apply_layers(tail, own, layers, 0, sub=SUB_ROWS, totals=totals).filter("is_last").drop("is_last")

@@ -135,15 +135,15 @@ def roc(c: Context, close: str = "close", steps=(5, 10)) -> FeatureSet:
     )
 
 
+def return_deviations(c: Context, periods, close: str = "close") -> list[dict]:
+    """Layers with the one-step return and its rolling deviations, shared by several features."""
+    return [{"_ret": c.rows.pct(close, 1)}, {f"_ret_std_{n}": c.rows.std("_ret", n) for n in periods}]
+
+
 @feature
 def rolling_volatility(c: Context, close: str = "close", periods=(20, 50)) -> FeatureSet:
-    return FeatureSet(
-        [
-            {"_step_return": c.rows.pct(close, 1)},
-            {f"volatility_{n}": c.rows.std("_step_return", n) for n in periods},
-        ],
-        max(periods) + 1,
-    )
+    out = {f"volatility_{n}": F.col(f"_ret_std_{n}") for n in periods}
+    return FeatureSet([*return_deviations(c, periods, close), out], max(periods) + 1)
 
 
 def min_periods_guard(df: DataFrame, keys=("instrument",), minimum: int = 50) -> DataFrame:

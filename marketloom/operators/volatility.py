@@ -11,6 +11,7 @@ from ..functions.numeric import div, flag, safe_sqrt
 from ..functions.ranks import exact_median
 from ..functions.rolling import warmup
 from ..functions.series import Series
+from .technical import return_deviations
 
 ANNUAL = math.sqrt(252)
 
@@ -22,13 +23,8 @@ def _log_ratio(a: str, b: str) -> Column:
 
 @feature
 def hist_vol(c: Context, periods=(20, 50)) -> FeatureSet:
-    return FeatureSet(
-        [
-            {"_ret": c.rows.pct("close")},
-            {f"hist_vol_{n}": c.rows.std("_ret", n) * ANNUAL for n in periods},
-        ],
-        max(periods) + 1,
-    )
+    out = {f"hist_vol_{n}": F.col(f"_ret_std_{n}") * ANNUAL for n in periods}
+    return FeatureSet([*return_deviations(c, periods), out], max(periods) + 1)
 
 
 @feature
@@ -93,8 +89,8 @@ def yang_zhang(c: Context, n: int = 20) -> FeatureSet:
 def vol_of_vol(c: Context, n: int = 20) -> FeatureSet:
     return FeatureSet(
         [
-            {"_ret": c.rows.pct("close")},
-            {"_hv": c.rows.std("_ret", n) * ANNUAL},
+            *return_deviations(c, (n,)),
+            {"_hv": F.col(f"_ret_std_{n}") * ANNUAL},
             {"vol_of_vol": c.rows.std("_hv", n)},
         ],
         2 * n + 1,

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.features import compute
 from ..functions.series import Series
 from ..operators import boosting as bo
 from ..operators import evaluation as ev
@@ -13,6 +14,7 @@ from ..operators import prep as pr
 from ..operators import scoring as sc
 from ..operators import snapshot as sn
 from ..operators import technical as te
+from ..session import materialize
 from .catalog import cols, cte, query, rnd, sql, table
 from .gold_queries import RATIO, ar_rows, block_rows, closes, labelled
 from .inputs import HOURLY, hourly
@@ -123,8 +125,6 @@ SMALL = {"maxDepth": 3, "maxIter": 5}
 
 
 def training(s, d):
-    from ..functions.features import compute
-
     h = hourly(s, d)
     wide = compute(h, HOURLY, [te.returns.using(steps=(1, 5, 10)), te.rsi.using(periods=(14,)), te.sma.using(periods=(7,)),
                                te.rolling_volatility.using(periods=(20,))])
@@ -132,25 +132,16 @@ def training(s, d):
     return wide.join(lab, ["instrument", "time"]).dropna(subset=FEATURES)
 
 
-def _persisted(s, df, name):
-    """Write the training table once: boosting scans it many times."""
-    from ..session import scratch_path
-
-    path = scratch_path(s, name)
-    df.write.parquet(path)
-    return s.read.parquet(path)
-
-
 @query("fit_gbt")
 def _fit(s, d):
-    data = _persisted(s, la.split_ratio(training(s, d), IRREGULAR), "train")
+    data = materialize(la.split_ratio(training(s, d), IRREGULAR), "train")
     model = bo.fit_gbt(data.filter(F.col("split") == "train"), FEATURES, **SMALL)
     return bo.feature_importance(model, FEATURES)
 
 
 @query("score_batch")
 def _score(s, d):
-    data = _persisted(s, la.split_ratio(training(s, d), IRREGULAR), "train")
+    data = materialize(la.split_ratio(training(s, d), IRREGULAR), "train")
     model = bo.fit_gbt(data.filter(F.col("split") == "train"), FEATURES, "target_classification", "classification", **SMALL)
     return bo.score_batch(model, data, "classification").select(
         "instrument", "time", "split", "prediction", "probability_up", F.col("target_classification").alias("actual"))
@@ -158,7 +149,7 @@ def _score(s, d):
 
 @query("tune_grid_walk_forward")
 def _tune(s, d):
-    data = _persisted(s, la.walk_forward_splits(training(s, d), IRREGULAR, 2), "folds")
+    data = materialize(la.walk_forward_splits(training(s, d), IRREGULAR, 2), "folds")
     return bo.tune_grid_walk_forward(data, FEATURES, {"maxDepth": [2, 3]}, folds=2, maxIter=3)
 
 

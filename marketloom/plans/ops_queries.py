@@ -17,7 +17,7 @@ from .inputs import NEGATIVE, POSITIVE, SIGNAL_FLOATS, SIGNAL_REST, bars, predic
 
 AS_OF = "2024-01-31 00:00:00"
 # Small windows and low thresholds so that the checks do fire on the test log.
-CONFIG = dr.DriftConfig(0.05, 0.05, 0.02, 20, 15)
+CONFIG = dr.DriftConfig(0.001, 0.05, 0.02, 20, 15)
 
 
 def as_of():
@@ -39,7 +39,7 @@ def alert_sql(kind, measure, thr, high, text, fall=False) -> str:
 
 
 ALERTS = {
-    "sentiment_drift": alert_sql("sentiment_drift", "avg_sentiment", 0.05, 2.0, "Sentiment drift detected"),
+    "sentiment_drift": alert_sql("sentiment_drift", "avg_sentiment", 0.001, 2.0, "Sentiment drift detected"),
     "prediction_drift": alert_sql("prediction_drift", "(prediction = 'bullish')::INTEGER", 0.05, 1.5, "Prediction distribution drift detected"),
     "confidence_drop": alert_sql("confidence_drop", "confidence", 0.02, 1.5, "Model confidence drop detected", True),
 }
@@ -66,8 +66,8 @@ def all_alerts(s, d):
 
 _union = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in ALERTS.values())
 _cool = f"a AS ({_union}) SELECT * FROM a WHERE type NOT IN (SELECT type FROM alert_log WHERE timestamp > TIMESTAMP '{AS_OF}' - INTERVAL {{m}} MINUTE)"
-query("alert_cooldown", sql(_cool.replace("{m}", "60"), "tail", "alert_log"))(
-    lambda s, d: dr.alert_cooldown(all_alerts(s, d), alert_log(s, d), as_of(), 60))
+query("alert_cooldown", sql(_cool.replace("{m}", "10"), "tail", "alert_log"))(
+    lambda s, d: dr.alert_cooldown(all_alerts(s, d), alert_log(s, d), as_of(), 10))
 query("all_drifts", sql(_cool.replace("{m}", "15"), "tail", "alert_log"))(
     lambda s, d: dr.all_drifts(prediction_rows(s, d), alert_log(s, d), as_of(), CONFIG))
 
@@ -173,12 +173,12 @@ query("dq_schema_range", "SELECT count(*) AS rows, 0::BIGINT AS out_of_range, 0:
 query("dq_schema_range_failing", "SELECT count(*) AS rows, count(*) FILTER (event_id % 11 > 9) AS out_of_range, 0::BIGINT AS bad_labels, 'feature_a out of range' AS reason, 0 AS passed FROM events")(
     lambda s, d: dq.dq_schema_range(dq_events(s, d), high=9))
 query("dq_outlier_5sigma",
-      "WITH w AS (SELECT o_orderkey, exp(o_totalprice / 50000) AS price, o_totalprice AS plain FROM orders), st AS (SELECT avg(price) AS m, stddev_samp(price) AS s, avg(plain) AS pm, stddev_samp(plain) AS ps FROM w) "
-      "SELECT o_orderkey, 'price' AS feature, R6(price / 1e6) AS value, R6((price - m) / s) AS z FROM w, st WHERE abs(price - m) > 5 * s "
-      "UNION ALL SELECT o_orderkey, 'plain', R6(plain / 1e6), R6((plain - pm) / ps) FROM w, st WHERE abs(plain - pm) > 5 * ps")(
+      "WITH w AS (SELECT o_orderkey, exp(o_totalprice / 10000) AS price, o_totalprice AS plain FROM orders), st AS (SELECT avg(price) AS m, stddev_samp(price) AS s, avg(plain) AS pm, stddev_samp(plain) AS ps FROM w) "
+      "SELECT o_orderkey, 'price' AS feature, R6(price / 1e12) AS value, R6((price - m) / s) AS z FROM w, st WHERE abs(price - m) > 5 * s "
+      "UNION ALL SELECT o_orderkey, 'plain', R6(plain / 1e12), R6((plain - pm) / ps) FROM w, st WHERE abs(plain - pm) > 5 * ps")(
     lambda s, d: dq.dq_outlier_5sigma(table(s, d, "orders").select(
-        "o_orderkey", F.exp(F.col("o_totalprice") / 50000).alias("price"), F.col("o_totalprice").alias("plain")), ["price", "plain"], ["o_orderkey"]).withColumn(
-        "value", F.col("value") / 1e6))
+        "o_orderkey", F.exp(F.col("o_totalprice") / 10000).alias("price"), F.col("o_totalprice").alias("plain")), ["price", "plain"], ["o_orderkey"]).withColumn(
+        "value", F.col("value") / 1e12))
 query("dq_duplicate_time", sql(
     "SELECT instrument, date_trunc('hour', time) AS time, R6(price) AS price, event_id FROM ticks QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('hour', time) ORDER BY event_id) = 1", "ticks"))(
     lambda s, d: dq.dq_duplicate_time(ticks(s, d).withColumn("time", F.date_trunc("hour", "time").cast("timestamp_ntz")), order=("event_id",)))

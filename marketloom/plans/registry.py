@@ -1,9 +1,10 @@
 """Import every query module so that the catalogue is complete."""
 from __future__ import annotations
 
-from . import gold_queries, market_queries, model_queries, news_queries, ops_queries  # noqa: F401
+from . import gold_queries, market_queries, model_queries, news_queries, ops_queries, pipeline_queries  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["returns"](spark, sf_dir)
+    """Bars to a labelled training table with news as of each bar."""
+    return QUERIES["training_table"](spark, sf_dir)

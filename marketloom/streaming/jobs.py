@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.series import epoch_seconds, floor_div
 from ..operators.asof import asof_zero_fill
 from ..operators.drift import DEFAULTS, DriftConfig, all_drifts
 from ..operators.signals import signal_strength, trading_signal, window_aggregates
@@ -85,18 +86,23 @@ def stream_asof(bars: DataFrame, signals: DataFrame, path: str, tolerance_hours:
 
 
 def stream_interval_join(
-    bars: DataFrame, signals: DataFrame, tolerance: str = "2 hours", delay: str = DELAY, time: str = "time",
+    bars: DataFrame, signals: DataFrame, tolerance_seconds: int = 7_200, delay: str = DELAY, time: str = "time",
     right_time: str = "signal_time",
 ) -> DataFrame:
     """Stream-stream form: every pair of a bar and a signal within the tolerance before it.
 
-    The time bound lets Spark drop old state on both sides; the newest match per bar is
-    taken downstream.
+    Slots of the tolerance's width give the equality the join is partitioned by; a signal
+    enters its own slot and the next.  The time bounds let Spark drop old state on both sides;
+    the newest match per bar is taken downstream.
     """
     left, right = event_time(bars, time, delay), event_time(signals, right_time, delay)
-    return left.join(
-        right, F.expr(f"{right_time} <= {time} AND {right_time} >= {time} - INTERVAL {tolerance}"), "inner"
+    left = left.withColumn("_slot", floor_div(epoch_seconds(time), tolerance_seconds))
+    own = floor_div(epoch_seconds(right_time), tolerance_seconds)
+    right = right.withColumn("_right_slot", F.explode(F.array(own, own + 1)))
+    bounds = F.expr(
+        f"_slot = _right_slot AND {right_time} <= {time} AND {right_time} >= {time} - INTERVAL {tolerance_seconds} SECONDS"
     )
+    return left.join(right, bounds, "inner").drop("_slot", "_right_slot")
 
 
 def stream_drift_alerts(log: DataFrame, path: str, config: DriftConfig = DEFAULTS) -> DataFrame:
