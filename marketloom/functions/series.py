@@ -191,21 +191,20 @@ def carry_forward(
     inclusive: bool = True,
 ) -> DataFrame:
     """Add, per name, the last non-null value at (if inclusive) or before each row in ``order``."""
-    staged = df.withColumns({f"_v_{n}": v for n, v in values.items()})
     group = [*keys, bucket]
     at = F.struct(*[F.col(c) for c in order])
-    summary = staged.groupBy(*group).agg(
-        *[F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_s_{n}") for n in values]
+    summary = df.groupBy(*group).agg(
+        *[F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_s_{n}") for n, v in values.items()]
     )
     earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
         *group, *[F.last(f"_s_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in values]
     )
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = staged.join(carried, group, "left").withColumns(
-        {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")) for n in values}
+    out = df.join(carried, group, "left").withColumns(
+        {n: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_c_{n}")) for n, v in values.items()}
     )
-    return out.drop(*[p + n for n in values for p in ("_v_", "_c_")])
+    return out.drop(*[f"_c_{n}" for n in values])
 
 
 def cumulative(

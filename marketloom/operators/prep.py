@@ -27,7 +27,7 @@ def gold_clean(df: DataFrame, series: Series = Series(), share: float = 0.7) ->
     """Drop rows with too many gaps, fill forward, drop what still has gaps."""
     kept = drop_sparse_rows(df, share)
     fill = [c for c in df.columns if c not in (*series.keys, series.time)]
-    return fill_null_cells(kept, fill, series).dropna()
+    return drop_sparse_rows(fill_null_cells(kept, fill, series), 1.0)
 
 
 def feature_names(df: DataFrame, exclude: Sequence[str] = NOT_FEATURES) -> list[str]:
