@@ -174,11 +174,11 @@ query("dq_schema_range_failing", "SELECT count(*) AS rows, count(*) FILTER (even
     lambda s, d: dq.dq_schema_range(dq_events(s, d), high=9))
 query("dq_outlier_5sigma",
       "WITH w AS (SELECT o_orderkey, exp(o_totalprice / 10000) AS price, o_totalprice AS plain FROM orders), st AS (SELECT avg(price) AS m, stddev_samp(price) AS s, avg(plain) AS pm, stddev_samp(plain) AS ps FROM w) "
-      "SELECT o_orderkey, 'price' AS feature, R6(price / 1e12) AS value, R6((price - m) / s) AS z FROM w, st WHERE abs(price - m) > 5 * s "
-      "UNION ALL SELECT o_orderkey, 'plain', R6(plain / 1e12), R6((plain - pm) / ps) FROM w, st WHERE abs(plain - pm) > 5 * ps")(
+      "SELECT o_orderkey, 'price' AS feature, R6(price / 1e18) AS value, R6((price - m) / s) AS z FROM w, st WHERE abs(price - m) > 5 * s "
+      "UNION ALL SELECT o_orderkey, 'plain', R6(plain / 1e18), R6((plain - pm) / ps) FROM w, st WHERE abs(plain - pm) > 5 * ps")(
     lambda s, d: dq.dq_outlier_5sigma(table(s, d, "orders").select(
         "o_orderkey", F.exp(F.col("o_totalprice") / 10000).alias("price"), F.col("o_totalprice").alias("plain")), ["price", "plain"], ["o_orderkey"]).withColumn(
-        "value", F.col("value") / 1e12))
+        "value", F.col("value") / 1e18))
 query("dq_duplicate_time", sql(
     "SELECT instrument, date_trunc('hour', time) AS time, R6(price) AS price, event_id FROM ticks QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('hour', time) ORDER BY event_id) = 1", "ticks"))(
     lambda s, d: dq.dq_duplicate_time(ticks(s, d).withColumn("time", F.date_trunc("hour", "time").cast("timestamp_ntz")), order=("event_id",)))
