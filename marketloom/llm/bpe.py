@@ -123,7 +123,7 @@ class Vocabulary:
 class DynamicEncoder:
     """encode(texts) -> ids as numpy arrays; decode(ids) -> text."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000):
         import regex
 
         self.vocabulary = Vocabulary(path)

@@ -65,7 +65,7 @@ def per_batch(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return docs.mapInArrow(run, schema)
 
 
-def halves(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def halves(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `most` bytes, so that long texts don't add up in a worker."""
     rows = batch.num_rows
     step = max(1, rows * most // max(batch.nbytes, 1)) if batch.nbytes > most else rows

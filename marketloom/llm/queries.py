@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_files
+from . import bpe, language, packing, quality, secret_scan, token_files, toxicity
 from .common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,13 +31,38 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(spark, docs, scratch_path(spark, "token-files"), byte_bpe(), end_id=2).drop("ids")
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause scores of the grammar, fitted on labels outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Harmonic packing into sequences of 2048 ids."""
     return packing.pack(read_table(spark, sf_dir, "documents"), byte_bpe(), capacity=2048, end_id=1)
 
 
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and those of the further rules, found through a trigram index."""
+    return secret_scan.told_spans(secret_scan.scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text and the verdict by adaptive thresholds."""
+    return quality.judge(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact ids by dynamic programming, and the text decoded from them."""
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), byte_bpe())
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by code length, learned outside the held-out fold."""
+    return language.identify(read_table(spark, sf_dir, "documents"))

@@ -70,7 +70,7 @@ class PieceMemo:
 class LibraryEncoder:
     """encode(texts): ids of each text as little-endian unsigned 32-bit integers; null is empty."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -86,9 +86,9 @@ class LibraryEncoder:
         self.memo = PieceMemo(self._library, keep)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        # The library keeps strings and offsets of every token until a call's results are gone: few texts at a time.
+        return [np.array(e.ids, np.uint32).tobytes() for k in range(0, len(texts), 512)
+                for e in self.library.encode_batch_fast(texts[k:k + 512], add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
