@@ -51,10 +51,12 @@ class PieceMemo:
         missing = set(pieces).difference(now)
         long = None
         if missing:
-            known = missing.intersection(before)
-            for p in known:
-                now[p] = before[p]
-            fresh = list(missing - known)
+            fresh = []
+            for p in missing:
+                if p in before:
+                    now[p] = before[p]
+                else:
+                    fresh.append(p)
             got = self.compute([" " + p for p in fresh])
             for p, v in zip(fresh, got):
                 if len(p) <= LONGEST_KEPT:
