@@ -8,9 +8,10 @@ machine once, which then runs over the clauses that hold an insult or a threat;
 is that of its outcome times the learned weight of its word.  Clauses, not isolated words, are scored.
 
 Threats, targets, negations and reporting verbs are fixed lists.  Insults are learned: words and word
-stems (first 4 to 6 letters) whose share of toxic documents is far above that of clean ones.  A
-logistic curve over the clause weights gives the score.  Both are fitted on a bounded sample: about
-`per_label` labelled documents of each label, chosen by a hash of doc_id.
+stems (first 4 to 6 letters) whose share of toxic documents is far above that of clean ones, and which
+stand between different neighbours (the words of a copied text do not).  A logistic curve over the
+clause weights gives the score.  Both are fitted on a bounded sample: about `per_label` labelled
+documents of each label, chosen by a hash of doc_id.
 
 Defined results: null and empty texts score as a text without matches; repeated labels count once
 (the largest); without labels of both kinds the fixed lists and fixed coefficients hold; extra columns
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -169,10 +171,24 @@ class Model:
 STEMS = (4, 5, 6)
 
 
-def terms_of(text: str) -> set[str]:
-    """Distinct words of three letters and more, and the stems of longer ones, which end in `*`."""
-    words = {w for w in WORD.findall(text.lower()) if len(w) >= 3}
-    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+#: A term must stand between different pairs of neighbours, at least 4, and as many as 0.6 of its
+#: documents up to 20: words of copied texts don't.
+NEIGHBOURS = "bit_count(places) >= greatest(4, least(0.6 * toxic, 20))"
+
+
+def terms_of(text: str) -> dict[str, int]:
+    """Distinct words of three letters and more, and the stems of longer ones, which end in `*`.
+
+    The value has one of 63 bits set for each pair of neighbours, by its hash.
+    """
+    words = WORD.findall(text.lower())
+    out: dict[str, int] = {}
+    for before, word, after in zip(["", *words], words, [*words[1:], ""]):
+        if len(word) >= 3:
+            bit = 1 << zlib.crc32(f"{before} {after}".encode()) % 63
+            for term in (word, *(word[:n] + "*" for n in STEMS if len(word) > n)):
+                out[term] = out.get(term, 0) | bit
+    return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,17 +209,21 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 3_000) -> Model:
 
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            counts = Counter(), Counter()
+            counts, places = (Counter(), Counter()), Counter()
             for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                counts[toxic].update(terms_of(text or ""))
+                terms = terms_of(text or "")
+                counts[toxic].update(terms.keys())
+                if toxic:
+                    for t, bits in terms.items():
+                        places[t] |= bits
             terms = sorted({*counts[0], *counts[1]})
-            return pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "clean": pa.array([counts[0][t] for t in terms], pa.int64()), "toxic": pa.array([counts[1][t] for t in terms], pa.int64())})
+            return pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string())} | {n: pa.array([c[t] for t in terms], pa.int64()) for n, c in (("clean", counts[0]), ("toxic", counts[1]), ("places", places))})
         return work
     n = Counter(number.values())
-    counted = per_batch(sample, make, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = per_batch(sample, make, "term string, clean long, toxic long, places long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("places").alias("places"))
     least = max(5, round(0.004 * n[1]))
     lift = (F.col("toxic") + 0.5) / (n[1] + 1) / ((F.col("clean") + 0.5) / (n[0] + 1))
-    strong = counted.filter((F.col("toxic") >= least) & (F.col("clean") <= 0.02 * F.col("toxic")) & (lift >= 8)).select("term", "toxic", lift.alias("lift")).toArrow().to_pylist()
+    strong = counted.filter((F.col("toxic") >= least) & (F.col("clean") <= 0.02 * F.col("toxic")) & (lift >= 8) & F.expr(NEIGHBOURS)).select("term", "toxic", lift.alias("lift")).toArrow().to_pylist()
     words, stems = dict(seeds), {}
     for r in sorted(strong, key=lambda r: (len(r["term"]), r["term"])):
         term, weight = r["term"], min(1.5, math.log(r["lift"]) / 4)
