@@ -75,3 +75,11 @@ def halves(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
 
 def record_batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, packing, quality, secret_scan, token_files, toxicity
+from . import bpe, language, packing, quality, secret_scan, substrings, token_files, toxicity
 from .common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words outside windows of 50 that also start in a smaller document."""
+    return substrings.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact ids by dynamic programming, and the text decoded from them."""
