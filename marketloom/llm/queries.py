@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, packing, quality, secret_scan, substrings, token_files, toxicity
+from . import bpe, jaccard_join, language, packing, quality, secret_scan, substrings, token_files, toxicity
 from .common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(spark, docs, scratch_path(spark, "token-files"), byte_bpe(), end_id=2).drop("ids")
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of 0.8 and more between sets of five-word runs, as classes and counts."""
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause scores of the grammar, fitted on labels outside the held-out fold."""
