@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, language, packing, quality, secret_scan, substrings, token_files, toxicity
+from . import bpe, jaccard_join, language, neighbours, packing, quality, secret_scan, substrings, token_files, toxicity
 from .common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), every=20, top=20)
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause scores of the grammar, fitted on labels outside the held-out fold."""
