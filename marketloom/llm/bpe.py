@@ -132,7 +132,7 @@ class DynamicEncoder:
         self.added = re.compile("(" + "|".join(re.escape(k) for k in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.words: dict[str, bytes] = {}
         self.keep = keep
-        self.memo = PieceMemo(self._fresh, keep)
+        self.memo = PieceMemo(lambda pieces: self._fresh([" " + p for p in pieces]), keep)
 
     def _fresh(self, pieces: list[str]) -> list[bytes]:
         words, split, one = self.words, self.split, self.vocabulary.encode_word

@@ -8,14 +8,16 @@ normalizer, whole texts go to the library.
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: A space that is followed by white space or by nothing: no place to cut.
 INNER_SPACE = re.compile(r" (?=\s|$)")
 LONGEST_KEPT = 64
+#: Latin letters, then ASCII punctuation without the apostrophe: with a space before them, two pre-tokens.
+WORD_AND_TAIL = re.compile(r"([A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def space_pieces(segment: str) -> list[str]:
@@ -35,7 +37,7 @@ def space_pieces(segment: str) -> list[str]:
 
 
 class PieceMemo:
-    """Bytes kept for each piece.  Two generations bound the memory: what is not used again goes."""
+    """Bytes kept for each piece; `compute` has them for new ones.  Two generations bound the memory: what is not used again goes."""
 
     def __init__(self, compute, keep: int):
         self.compute, self.keep = compute, keep
@@ -48,50 +50,75 @@ class PieceMemo:
         if len(now) > self.keep:
             self.before, self.now = now, {}
             now, before = self.now, self.before
-        missing = set(pieces).difference(now)
-        long = None
-        if missing:
-            fresh = []
-            for p in missing:
-                if p in before:
-                    now[p] = before[p]
-                else:
-                    fresh.append(p)
-            got = self.compute([" " + p for p in fresh])
-            for p, v in zip(fresh, got):
-                if len(p) <= LONGEST_KEPT:
-                    now[p] = v
-                else:
-                    long = long or {}
-                    long[p] = v
-        if long:
-            return [now[p] if p in now else long[p] for p in pieces]
-        return list(map(now.__getitem__, pieces))
+        got = list(map(now.get, pieces))
+        if None not in got:
+            return got
+        fresh, long = [], {}
+        for p in {p for p, v in zip(pieces, got) if v is None}:
+            if p in before:
+                now[p] = before[p]
+            else:
+                fresh.append(p)
+        for p, v in zip(fresh, self.compute(fresh)):
+            (now if len(p) <= LONGEST_KEPT else long)[p] = v
+        return [now[p] if v is None and p not in long else long[p] if v is None else v for p, v in zip(pieces, got)]
 
 
 class LibraryEncoder:
     """encode(texts): ids of each text as little-endian unsigned 32-bit integers; null is empty."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of a worker's machine share its cores already
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         spec = json.loads(self.library.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.by_piece = spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         added = [t for t in spec.get("added_tokens") or []]
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             self.by_piece = False
         self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
-        self.memo = PieceMemo(self._library, keep)
+        self.memo = PieceMemo(self._led, keep)
+        self.model = self.library.model
+        self.letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         # The library keeps strings and offsets of every token until a call's results are gone: few texts at a time.
-        return [np.array(e.ids, np.uint32).tobytes() for k in range(0, len(texts), 512)
+        return [array("I", e.ids).tobytes() for k in range(0, len(texts), 512)
                 for e in self.library.encode_batch_fast(texts[k:k + 512], add_special_tokens=False)]
 
+    def _led(self, pieces: list[str]) -> list[bytes]:
+        """Pieces led by a space.  Plain words go to the library's model at once, all else to the whole tokenizer."""
+        out: list[bytes | None] = []
+        rest: list[int] = []
+        tokenize, letters, tails, match, known = self.model.tokenize, self.letters, self.tails, WORD_AND_TAIL.fullmatch, self.memo.now
+        for k, piece in enumerate(pieces):
+            m = match(piece)
+            if m is None:
+                rest.append(k)
+                out.append(None)
+                continue
+            word, tail = m.groups()
+            ids = known.get(word) if tail else None
+            if ids is None:
+                spelt = "\u0120" + word if word.isascii() else letters(" " + word)[0][0]
+                ids = array("I", [t.id for t in tokenize(spelt)]).tobytes()
+            if tail:
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[tail] = self._library([tail])[0]
+                ids += tails[tail]
+            out.append(ids)
+        for k, ids in zip(rest, self._library([" " + pieces[k] for k in rest])):
+            out[k] = ids
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if not self.by_piece:
