@@ -254,9 +254,13 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str = MASK) -> st
 
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = MASK) -> DataFrame:
-    """The documents with their secrets masked; a null text stays null, other columns are kept."""
+    """The documents with their secrets masked; a null text stays null, other columns are kept.
+
+    n_chars, where present, is counted anew for a text that changes.
+    """
     names = docs.columns
     at = names.index("text")
+    chars = names.index("n_chars") if "n_chars" in names and docs.schema["n_chars"].dataType.simpleString() in ("int", "bigint") else None
 
     def make():
         queries = [trigram_query(r.pattern, r.any_case) for r in rules]
@@ -264,11 +268,9 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = M
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = b.column(at).to_pylist()
             found = scan_texts(texts, rules, queries)
-            new = [None if t is None else masked(t, f, mask) if f else t for t, f in zip(texts, found)]
-            return pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else b.column(k) for k in range(len(names))], names=names)
+            new = {at: [masked(t, f, mask) if f else t for t, f in zip(texts, found)]}
+            if chars is not None:
+                new[chars] = [len(t) if f else n for t, f, n in zip(new[at], found, b.column(chars).to_pylist())]
+            return pa.RecordBatch.from_arrays([pa.array(new[k], b.column(k).type) if k in new else b.column(k) for k in range(len(names))], names=names)
         return work
     return per_batch(docs, make, docs.schema)
-
-
-def sha256_of(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

@@ -270,11 +270,10 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group: in
     parts = windows.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("runs")).withColumn("whole", F.lit(False))
     late = rows.filter(is_later_copy(window)).select("doc_id", "tag", F.expr("CAST(array() AS array<struct<start: bigint, length: int>>) AS runs"), F.lit(True).alias("whole")).dropDuplicates(["doc_id", "tag"])
     entry_id, entry = free_name(docs, "cut_id"), free_name(docs, "cut_entries")
-    entries = parts.unionByName(late).groupBy(F.col("doc_id").alias(entry_id)).agg(F.collect_list(F.struct("tag", "whole", "runs.start", "runs.length")).alias(entry))
+    entries = parts.unionByName(late).groupBy(F.col("doc_id").alias(entry_id)).agg(F.collect_list(F.struct("tag", "whole", F.col("runs.start").alias("start"), F.col("runs.length").alias("length"))).alias(entry))
     joined = docs.join(entries, docs.doc_id.cast("long") == F.col(entry_id), "left").select(*docs.columns, entry)
     names, at = docs.columns, docs.columns.index("text")
-    chars = names.index("n_chars") if "n_chars" in names else None
-    chars_type = docs.schema["n_chars"].dataType.simpleString() if chars is not None else None
+    chars = names.index("n_chars") if "n_chars" in names and docs.schema["n_chars"].dataType.simpleString() in ("int", "bigint") else None
 
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -289,7 +288,8 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group: in
                     if e["tag"] == tag:
                         texts[k] = "" if e["whole"] else b" ".join(kept_words(words, e["start"], e["length"], window)).decode()
                         counts[k] = len(texts[k])
-            columns = [pa.array(texts, pa.string()) if k == at else pa.array(counts, b.column(k).type) if k == chars and chars_type in ("int", "bigint") else b.column(k) for k in range(len(names))]
+            new = {at: texts} if chars is None else {at: texts, chars: counts}
+            columns = [pa.array(new[k], b.column(k).type) if k in new else b.column(k) for k in range(len(names))]
             return pa.RecordBatch.from_arrays(columns, names=names)
         return work
     return per_batch(joined, make, docs.schema)
