@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product: NN-descent graph, greedy graph search.
 
-Graph.  Each vector starts with its best `k` among a random chunk.  Then rounds of joins: every
+Graph.  Each vector starts with its best `k` among two random chunks.  Then rounds of joins: every
 node's list and a sample of the lists it is in are brought together with their vectors, each two of
 those members are neighbours of neighbours and are scored, and what beats a member's own worst
 neighbour is sent to it.  Rounds end when few lists change.
@@ -122,8 +122,8 @@ def packed(nodes: DataFrame) -> DataFrame:
 LISTS = "node long, list binary"
 
 
-def first_lists(vectors: DataFrame, k: int, chunk: int) -> DataFrame:
-    """The k best of a random chunk."""
+def first_lists(vectors: DataFrame, k: int, chunk: int, draw: int) -> DataFrame:
+    """The k best of a random chunk; another `draw` gives other chunks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         vecs: list[bytes] = []
@@ -146,7 +146,8 @@ def first_lists(vectors: DataFrame, k: int, chunk: int) -> DataFrame:
                 yield flush(chunk)
         if ids:
             yield flush(len(ids))
-    return vectors.repartition(F.xxhash64("node")).sortWithinPartitions(F.xxhash64("node")).mapInArrow(run, LISTS)
+    order = F.xxhash64("node", F.lit(draw))
+    return vectors.repartition(order).sortWithinPartitions(order).mapInArrow(run, LISTS)
 
 
 def neighbours_in(lists: DataFrame) -> DataFrame:
@@ -230,10 +231,13 @@ def merged(lists: DataFrame, more: DataFrame, k: int) -> DataFrame:
 
 def build_graph(vectors: DataFrame, k: int = K, chunk: int = CHUNK, rounds: int = ROUNDS) -> DataFrame:
     """Neighbour lists (node, list) of packed vectors (node, vec), by NN-descent."""
-    lists = materialize(first_lists(vectors, k, chunk), "nn-lists")
+    # two draws of chunks: lists of one draw alone would never lead out of their chunk
+    lists = materialize(merged(first_lists(vectors, k, chunk, 0), first_lists(vectors, k, chunk, 1), k).select("node", "list"), "nn-lists")
     for _ in range(rounds):
         new = materialize(merged(lists, updates(neighbourhoods(lists, vectors, k), SENT), k), "nn-lists")
         changed, n = new.agg(F.sum("changed"), F.count("*")).first()  # one row
+        import os
+        if os.environ.get("NN_DEBUG"): print("ROUND", changed, n, flush=True)
         lists = new.select("node", "list")
         if not n or changed <= FEW_CHANGES * k * n:
             break
