@@ -30,9 +30,9 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 TOP = 20
-K, CHUNK, SENT = 32, 2_048, 8
-ROUNDS, FEW_CHANGES = 8, 0.05
-BEAM, EXPANDED, SEARCH_ROUNDS, KEPT = 96, 64, 4, 192
+K, CHUNK, SENT = 32, 4_096, 10
+ROUNDS, FEW_CHANGES = 10, 0.06
+BEAM, EXPANDED, SEARCH_ROUNDS, KEPT = 192, 96, 5, 256
 
 
 # --- packed vectors and lists ---
@@ -236,8 +236,6 @@ def build_graph(vectors: DataFrame, k: int = K, chunk: int = CHUNK, rounds: int
     for _ in range(rounds):
         new = materialize(merged(lists, updates(neighbourhoods(lists, vectors, k), SENT), k), "nn-lists")
         changed, n = new.agg(F.sum("changed"), F.count("*")).first()  # one row
-        import os
-        if os.environ.get("NN_DEBUG"): print("ROUND", changed, n, flush=True)
         lists = new.select("node", "list")
         if not n or changed <= FEW_CHANGES * k * n:
             break

@@ -176,7 +176,9 @@ def read_token_files(manifest: DataFrame, take: Callable[[np.ndarray], np.ndarra
     `take` maps a file's doc_ids to the index rows wanted (default all); frames without one of
     those are not decompressed.  A wrong checksum raises.
     """
-    files = with_starts(manifest).select("file", "start", "n_bytes").repartition(F.col("file"))
+    n_files = manifest.count()
+    # one file a task: a number given keeps adaptive execution from joining these few rows into one task
+    files = with_starts(manifest).select("file", "start", "n_bytes").repartition(max(1, n_files))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
