@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 
 from .rolling import ExpScan, Rows
-from .series import Series, apply_layers
+from .series import ANY_SPACING, Series, apply_layers
 
 SUB_ROWS = 1_024  # serves exponential spans from 4 to 50
 
@@ -59,7 +59,7 @@ def feature(build: Callable[..., FeatureSet]):
     """
 
     @functools.wraps(build)
-    def op(df: DataFrame, series: Series = Series(), **params) -> DataFrame:
+    def op(df: DataFrame, series: Series = ANY_SPACING, **params) -> DataFrame:
         return compute(df, series, [functools.partial(build, **params)])
 
     op.using = lambda **params: functools.partial(build, **params)

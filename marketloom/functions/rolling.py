@@ -3,24 +3,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from .numeric import col, safe_sqrt
+from .numeric import clean_double, col, safe_sqrt
 from .series import POS, Series
 
+#: Rows that one sliding sum adds at most.
+STEP = 64
+
 
 class Rows:
     """Shorthand for expressions over the rows of a block.
 
-    Rolling sums, means and presence counts are differences of running totals within the
-    block, so their cost does not grow with the frame.  Only the additions inside the frame
-    can round, and an unchanged total differs by exactly zero.  Deviations and extremes use
-    sliding frames, where differences of totals would lose digits.
+    Sums, means, deviations and extremes add up the rows of their frame and no others, so a
+    bad tick is gone as soon as it leaves the frame.  Sums over more than ``STEP`` rows are
+    put together from sums over ``STEP`` rows, which bounds the work for each row.  Presence
+    counts are whole numbers and come from running totals.  NaN and infinities count as missing.
 
-    ``totals`` collects the columns whose running totals the layers need; ``apply_layers``
-    adds them as soon as the column exists.
+    ``totals`` collects helper columns (running counts, sums over ``STEP`` rows) that the layers
+    need; ``apply_layers`` adds them as soon as their column exists.
     """
 
     def __init__(self, series: Series, totals: dict[str, dict[str, Column]] | None = None):
@@ -43,34 +47,41 @@ class Rows:
     def frame(self, n: int, shift: int = 0):
         return self.w.rowsBetween(-(n - 1 + shift), -shift)
 
-    def _total(self, x: str, kind: str) -> str:
-        """Name of the running sum or count of column ``x``."""
-        name = f"_{kind}_of_{x}"
+    def _present(self, x: str, n: int, shift: int = 0) -> Column:
+        """Finite values in the frame."""
+        name = f"_count_of_{x}"
         running = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        value = F.col(x).cast("double") if kind == "sum" else F.col(x)
-        total = F.sum(value) if kind == "sum" else F.count(value)
-        self.totals.setdefault(x, {})[name] = F.coalesce(total.over(running), F.lit(0))
-        return name
-
-    def _within(self, x: str, n: int, kind: str, shift: int = 0) -> Column:
-        name = self._total(x, kind)
+        self.totals.setdefault(x, {})[name] = F.count(clean_double(x)).over(running)
         upto = self.lag(name, shift) if shift else F.col(name)
         return upto - F.coalesce(self.lag(name, n + shift), F.lit(0))
 
+    def _added(self, x: str, n: int) -> Column:
+        """Sum of the last n rows; only meaningful where the frame is full."""
+        value = clean_double(x)
+        whole, rest = divmod(n, STEP)
+        if n <= STEP:
+            return F.sum(value).over(self.frame(n))
+        name = f"_sum_of_{x}"
+        self.totals.setdefault(x, {})[name] = F.sum(value).over(self.frame(STEP))
+        parts = [F.col(name), *[self.lag(name, STEP * k) for k in range(1, whole)]]
+        if rest:
+            parts.append(F.sum(value).over(self.frame(rest, STEP * whole)))
+        return reduce(lambda a, b: a + b, parts)
+
     def _full(self, value: Column, x: str, n: int, shift: int = 0) -> Column:
-        return F.when(self._within(x, n, "count", shift) == n, value)
+        return F.when(self._present(x, n, shift) == n, value)
 
     def mean(self, x: str, n: int) -> Column:
-        return self._full(self._within(x, n, "sum") / n, x, n)
+        return self._full(self._added(x, n) / n, x, n)
 
     def sum(self, x: str, n: int) -> Column:
-        return self._full(self._within(x, n, "sum"), x, n)
+        return self._full(self._added(x, n), x, n)
 
     def std(self, x: str, n: int) -> Column:
-        return self._full(F.stddev_samp(col(x)).over(self.frame(n)), x, n)
+        return self._full(F.stddev_samp(clean_double(x)).over(self.frame(n)), x, n)
 
     def var(self, x: str, n: int) -> Column:
-        return self._full(F.var_samp(col(x)).over(self.frame(n)), x, n)
+        return self._full(F.var_samp(clean_double(x)).over(self.frame(n)), x, n)
 
     def max(self, x: str, n: int, shift: int = 0) -> Column:
         return self._full(F.max(col(x)).over(self.frame(n, shift)), x, n, shift)
@@ -117,7 +128,7 @@ class ExpScan:
 
     def inner(self, name: str, x, b: float, weight: Column | float = 1.0) -> dict[str, Column]:
         w = weight if isinstance(weight, Column) else F.lit(float(weight))
-        scaled = w * col(x).cast("double") * F.pow(F.lit(b), -self.j)
+        scaled = w * clean_double(x) * F.pow(F.lit(b), -self.j)
         running = F.sum(scaled).over(self.ws.rowsBetween(Window.unboundedPreceding, 0))
         return {f"_in_{name}": F.coalesce(running * F.pow(F.lit(b), self.j), F.lit(0.0))}
 
@@ -130,20 +141,16 @@ class ExpScan:
         """Layers for {name: (column, span)}.
 
         ``adjust=False``: y0 = x0, then y = a x + (1-a) y.  ``adjust=True``: weighted mean of
-        all rows so far.  Nulls only at the head of a series (adjust=False expects none).
+        all rows so far.  Missing values have no weight: what is there shares the weight of all.
         """
         inner: dict[str, Column] = {}
         outer: dict[str, Column] = {}
         for name, (x, span) in specs.items():
             b = decay(span)
-            if adjust:
-                present = F.when(col(x).isNotNull(), F.lit(1.0))
-                inner |= self.inner(f"{name}_n", x, b) | self.inner(f"{name}_d", present, b)
-                outer[name] = F.try_divide(self.outer(f"{name}_n", b), self.outer(f"{name}_d", b))
-            else:
-                weight = F.when(F.col("_first"), F.lit(1.0)).otherwise(F.lit(1.0 - b))
-                inner |= self.inner(name, x, b, weight)
-                outer[name] = self.outer(name, b)
+            present = F.when(clean_double(x).isNotNull(), F.lit(1.0))
+            weight = F.lit(1.0) if adjust else F.when(F.col("_first"), F.lit(1.0)).otherwise(F.lit(1.0 - b))
+            inner |= self.inner(f"{name}_n", x, b, weight) | self.inner(f"{name}_d", present, b, weight)
+            outer[name] = F.try_divide(self.outer(f"{name}_n", b), self.outer(f"{name}_d", b))
         return [inner, outer]
 
     def std_layers(self, name: str, x, span: float) -> list[dict[str, Column]]:
@@ -152,7 +159,7 @@ class ExpScan:
         Sums are centred on a nearby value so that the difference of squares keeps its digits.
         """
         b = decay(span)
-        x = col(x)
+        x = clean_double(x)
         one = F.when(x.isNotNull(), F.lit(1.0))
         parts = {"s0": (one, b), "s1": (x, b), "s2": (x * x, b), "q0": (one, b * b)}
         inner: dict[str, Column] = {}

@@ -89,6 +89,10 @@ class Series:
         return Window.partitionBy(*self.keys, BLOCK, SUB).orderBy(POS)
 
 
+#: For rows of any spacing: the default wherever a lag or a frame counts rows.
+ANY_SPACING = Series(step=None)
+
+
 def ordinal(df: DataFrame, series: Series, name: str = POS, total: str | None = None) -> DataFrame:
     """Add the 0-based position of every row in its series (and the series length)."""
     keys = [*series.keys, BUCKET]

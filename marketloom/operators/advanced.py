@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import Context, FeatureSet, compute, feature
 from ..functions.numeric import div, flag
-from ..functions.series import Series
+from ..functions.series import ANY_SPACING, Series
 from .grid import fill_null_cells
 
 
@@ -253,7 +253,7 @@ def advanced_builders(vwap: str | None = None):
     ]
 
 
-def advanced_features(df: DataFrame, series: Series = Series()) -> DataFrame:
+def advanced_features(df: DataFrame, series: Series = ANY_SPACING) -> DataFrame:
     """All add-on features, then forward fill and zero, as one pass plus one fill."""
     vwap = "vwap" if "vwap" in df.columns else None
     wide = compute(df, series, advanced_builders(vwap))

@@ -32,6 +32,8 @@ def recent_bands(log: DataFrame, window: int, newest: int = 100, time: str = "ti
 
     Only the top-k reaches the ranking, so its window holds at most ``newest`` rows.
     """
+    if 2 * window > newest:
+        raise ValueError("two bands need 2 x window rows: raise `newest`")
     order = [F.col(time).desc(), F.col(key).desc()]
     tail = log.orderBy(*order).limit(newest)
     rank = F.row_number().over(Window.orderBy(*order))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import Context, FeatureSet, feature
-from ..functions.numeric import flag
+from ..functions.numeric import clean_double, flag
 from ..functions.series import (
     BUCKET, Series, carry_forward, floor_time, minutes_between,
 )
@@ -21,18 +21,24 @@ def floor_to_window(df: DataFrame, minutes: int = 60, time: str = "time", name:
 
 def ohlcv_bars(
     ticks: DataFrame, granularity: str = "M1", keys: Sequence[str] = ("instrument",), time: str = "time",
-    price: str = "price",
+    price: str = "price", tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Open/high/low/close/volume bars; partial aggregates before the only shuffle."""
+    """Open/high/low/close/volume bars; partial aggregates before the only shuffle.
+
+    Ticks of one time are ordered by the ``tie`` columns, then by price, so the result does not
+    depend on the order of arrival.  NaN and infinite prices count as missing.
+    """
+    order = F.when(F.col(price).isNotNull(), F.struct(F.col(time), *[F.col(c) for c in tie], F.col(price)))
+    ticks = ticks.withColumn(price, clean_double(price))
     seconds = GRANULARITY[granularity]
     slot = ticks.withColumn("_slot", floor_time(time, seconds))
     return (
         slot.groupBy(*keys, F.col("_slot").alias("_bar"))
         .agg(
-            F.min_by(price, time).alias("open"),
+            F.min_by(price, order).alias("open"),
             F.max(price).alias("high"),
             F.min(price).alias("low"),
-            F.max_by(price, time).alias("close"),
+            F.max_by(price, order).alias("close"),
             F.count(F.lit(1)).alias("volume"),
         )
         .withColumnRenamed("_bar", time)

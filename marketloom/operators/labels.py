@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import Context, FeatureSet, feature
 from ..functions.numeric import div, flag
-from ..functions.series import POS, Series, ordinal
+from ..functions.series import ANY_SPACING, POS, Series, ordinal
 
 LENGTH = "_length"
 
@@ -29,7 +29,7 @@ def multiclass(change: Column) -> Column:
     )
 
 
-def target_labels(df: DataFrame, series: Series = Series(), horizon: int = 30, drop: bool = True) -> DataFrame:
+def target_labels(df: DataFrame, series: Series = ANY_SPACING, horizon: int = 30, drop: bool = True) -> DataFrame:
     """Direction, difference, percentage and class of the move over the horizon."""
     out = future_close(df, series, horizon=horizon)
     change = 100 * div(F.col("future_close") - F.col("close"), "close")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import Context, FeatureSet, compute, feature
 from ..functions.numeric import div
-from ..functions.series import Series
+from ..functions.series import ANY_SPACING, Series
 
 def _range():
     return F.col("high") - F.col("low")
@@ -106,5 +106,5 @@ def microstructure_builders():
     ]
 
 
-def microstructure_features(df: DataFrame, series: Series = Series()) -> DataFrame:
+def microstructure_features(df: DataFrame, series: Series = ANY_SPACING) -> DataFrame:
     return compute(df, series, microstructure_builders())

@@ -67,9 +67,10 @@ def prediction_history_hourly(log: DataFrame, as_of: Column, instrument: str, ho
     start = as_of - F.expr(f"INTERVAL {hours} HOUR")
     recent = log.filter((F.col("instrument") == instrument) & (F.col(time) >= start) & (F.col(time) < as_of))
     elapsed = F.floor((F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 3_600_000_000)
+    # predictions of one time: the larger id, where there is one, then the larger values
+    order = F.struct(time, *[c for c in ("event_id", "prediction", "probability", "confidence") if c in log.columns])
     last = recent.groupBy(elapsed.alias("slot")).agg(
-        F.max_by("prediction", time).alias("prediction"), F.max_by("probability", time).alias("probability"),
-        F.max_by("confidence", time).alias("confidence"),
+        *[F.max_by(c, order).alias(c) for c in ("prediction", "probability", "confidence")],
     )
     slots = log.sparkSession.range(hours).withColumnRenamed("id", "slot")
     return slots.join(last, "slot", "left").select(

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.features import Context, FeatureSet, compute, feature
 from ..functions.numeric import div
 from ..functions.rolling import warmup
-from ..functions.series import Series
+from ..functions.series import ANY_SPACING, Series
 
-WIDE = 12
 RETURN_STEPS = (1, 5, 10, 30, 60, 90, 120, 150, 180, 210, 240, 270, 360)
 
 
@@ -160,10 +159,6 @@ def drop_sparse_rows(df: DataFrame, share: float = 0.5, columns=None) -> DataFra
     """Keep rows with at least ``share`` of their cells filled."""
     columns = list(columns or df.columns)
     filled = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
-    if len(columns) > WIDE:
-        # A deterministic condition over this many columns becomes a constraint that Spark copies
-        # for every subset of later aliases; a (always true) random guard keeps it out of them.
-        filled = F.when(F.rand(0) >= 0, filled)
     return df.filter(filled >= share * len(columns))
 
 
@@ -174,6 +169,6 @@ def technical_builders():
     ]
 
 
-def technical_features(df: DataFrame, series: Series = Series(), minimum: int = 50) -> DataFrame:
+def technical_features(df: DataFrame, series: Series = ANY_SPACING, minimum: int = 50) -> DataFrame:
     """All indicators in one pass over the blocks."""
     return compute(min_periods_guard(df, series.keys, minimum), series, technical_builders())

@@ -10,7 +10,7 @@ from ..functions.features import Context, FeatureSet, compute, feature
 from ..functions.numeric import div, flag, safe_sqrt
 from ..functions.ranks import exact_median
 from ..functions.rolling import warmup
-from ..functions.series import Series
+from ..functions.series import ANY_SPACING, Series
 from .technical import return_deviations
 
 ANNUAL = math.sqrt(252)
@@ -143,5 +143,5 @@ def volatility_builders():
     ]
 
 
-def volatility_features(df: DataFrame, series: Series = Series()) -> DataFrame:
+def volatility_features(df: DataFrame, series: Series = ANY_SPACING) -> DataFrame:
     return vol_regime(compute(df, series, volatility_builders()), series.keys)

@@ -22,7 +22,7 @@ def ticks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, d: str, granularity: str = "H1") -> DataFrame:
-    return ohlcv_bars(ticks(spark, d), granularity)
+    return ohlcv_bars(ticks(spark, d), granularity, tie=("event_id",))
 
 
 OHLCV = ("instrument", "time", "open", "high", "low", "close", "volume")
@@ -75,7 +75,7 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     minute = F.make_dt_interval(mins=((F.col("doc_id") * 43) % 43_200).cast("int"))
     return docs.select(
         F.col("doc_id").alias("article_id"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 100).alias("headline"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline"),
         F.col("text").alias("body"),
         "source",
         F.col("lang").alias("language"),
@@ -118,7 +118,7 @@ def sql_lexicon(x: str, pos=POSITIVE, neg=NEGATIVE) -> str:
 
 cte(
     "articles",
-    "SELECT doc_id AS article_id, substr(split_part(text, chr(10), 1), 1, 100) AS headline, text AS body, source, "
+    "SELECT doc_id AS article_id, split_part(text, chr(10), 1) AS headline, text AS body, source, "
     "lang AS language, TIMESTAMP '2024-01-01' + to_minutes((doc_id * 43) % 43200) AS published_at, "
     "n_chars >= 100 AS content_fetched FROM documents",
 )

@@ -260,7 +260,7 @@ def article_stream(s, d):
     raw = st.read_stream(s, d, table(s, d, "documents").schema, "documents.parquet")
     minute = F.make_dt_interval(mins=((F.col("doc_id") * 43) % 43_200).cast("int"))
     return raw.select(
-        F.col("doc_id").alias("article_id"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 100).alias("headline"),
+        F.col("doc_id").alias("article_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline"),
         F.col("text").alias("body"), "source", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + minute).alias("published_at"))
 
 

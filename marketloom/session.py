@@ -28,7 +28,13 @@ def build_session(app: str = "marketloom", master: str | None = None, **conf) ->
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on (times are UTC) in a session somebody else built."""
+    """Pin what results depend on (times are UTC) in a session somebody else built.
+
+    Filters over many feature columns would become constraints that the optimizer copies for every
+    subset of later aliases; that inference is switched off.
+    """
+    if spark.conf.get("spark.sql.constraintPropagation.enabled") != "false":
+        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
@@ -37,10 +43,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where the cluster names none (local tests) a temporary folder is set.
+    Only in local mode, where all executors are this process, a temporary folder is set.  On a
+    cluster without that setting each executor would write to its own disk: an error.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(configured)
     elif spark.sparkContext.getCheckpointDir() is None:

@@ -4,17 +4,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import clean_double
 from ..schemas import BROKER_PAYLOAD, CANDLE
 
 
 def read_candles_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """One candle per line; malformed lines and unreadable times are dropped, times are UTC.
 
+    NaN and infinite values become NULL.
+
     Row order is left to the consumer: every operator here orders inside its partitions.
     """
     raw = spark.read.schema(CANDLE).option("mode", "DROPMALFORMED").json(path)
     parsed = raw.withColumn("time", F.try_to_timestamp(F.col("time")).cast("timestamp_ntz"))
-    return parsed.filter(F.col("time").isNotNull())
+    doubles = [f.name for f in parsed.schema if f.dataType.typeName() in ("double", "float")]
+    return parsed.filter(F.col("time").isNotNull()).withColumns({c: clean_double(c) for c in doubles})
 
 
 def flatten_broker_payload(df: DataFrame, payload: str = "payload", granularity: str = "M1") -> DataFrame:
@@ -29,7 +33,7 @@ def flatten_broker_payload(df: DataFrame, payload: str = "payload", granularity:
             F.try_to_timestamp("k.time").cast("timestamp_ntz").alias("time"),
             F.lit(granularity).alias("granularity"),
             *[
-                F.col(f"k.mid.{s}").cast("double").alias(n)
+                clean_double(F.col(f"k.mid.{s}")).alias(n)
                 for s, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"))
             ],
             F.col("k.volume").alias("volume"),

@@ -80,14 +80,22 @@ def incremental_upsert(
     )
 
 
+def orderable(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Columns as parts of a sort key; maps and variants, which have no order, as their JSON text."""
+    return [F.col(n) if df.schema[n].dataType.typeName() not in ("map", "variant") else F.to_json(n) for n in names]
+
+
 def latest_features_by_key(
     df: DataFrame, as_of: Column, ttl: str = "INTERVAL 1 DAY", keys: Sequence[str] = ("instrument",),
     time: str = "event_timestamp",
 ) -> DataFrame:
-    """Newest row per key not newer than ``as_of`` and not older than the time to live."""
+    """Newest row per key not newer than ``as_of`` and not older than the time to live.
+
+    Of rows with one time the largest wins, compared column by column in the order of their names.
+    """
     bounded = df.filter((F.col(time) <= as_of) & (F.col(time) > as_of - F.expr(ttl)))
     values = [c for c in df.columns if c not in keys]
-    return bounded.groupBy(*keys).agg(F.max_by(F.struct(*values), time).alias("_v")).select(*keys, "_v.*")
+    return bounded.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(time, *orderable(df, sorted(values)))).alias("_v")).select(*keys, "_v.*")
 
 
 def materialize_window(

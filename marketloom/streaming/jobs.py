@@ -22,11 +22,15 @@ def event_time(df: DataFrame, time: str, delay: str = DELAY) -> DataFrame:
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
-def stream_bars(ticks: DataFrame, width: str = "1 minute", delay: str = DELAY, time: str = "time") -> DataFrame:
-    """Bars from a tick stream: partial aggregates per (window, instrument), closed by the watermark."""
+def stream_bars(ticks: DataFrame, width: str = "1 minute", delay: str = DELAY, time: str = "time", tie: tuple[str, ...] = ()) -> DataFrame:
+    """Bars from a tick stream: partial aggregates per (window, instrument), closed by the watermark.
+
+    Ticks of one time are ordered by the ``tie`` columns, then by price.
+    """
+    order = F.struct(F.col(time), *[F.col(c) for c in tie], F.col("price"))
     grouped = event_time(ticks, time, delay).groupBy(F.window(time, width).alias("w"), "instrument").agg(
-        F.min_by("price", time).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", time).alias("close"), F.count(F.lit(1)).alias("volume"),
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", order).alias("close"), F.count(F.lit(1)).alias("volume"),
     )
     return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("time"), "instrument", "open", "high", "low", "close", "volume")
 

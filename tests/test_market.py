@@ -195,3 +195,67 @@ def test_snapshot_equals_pandas(spark):
     for k, w in want.items():
         assert got[k] == pytest.approx(w.iloc[-1], rel=1e-8), k
     assert got.vwap == pytest.approx((((p.high + p.low + c) / 3) * p.volume).sum() / p.volume.sum())
+
+
+@pytest.mark.parametrize("block", [64, 1_024, 8_192])
+def test_bad_values_stay_in_their_frame(spark, block):
+    """One NaN, one infinity and one tick of 1e17: rows beyond the frame are as if they were not there."""
+    rng = np.random.default_rng(3)
+    n = 2_400
+    close = 100 + np.cumsum(rng.normal(size=n)) / 10
+    t = pd.date_range("2024-01-01", periods=n, freq="min")
+    pdf = pd.DataFrame({"instrument": "a", "time": t, "open": close, "high": close + 1, "low": close - 1, "close": close, "volume": 5})
+    bad = pdf.copy()
+    bad.loc[300, "close"], bad.loc[700, "close"], bad.loc[1_100, "close"] = np.nan, np.inf, 1e17
+    series = Series(step=60, block=block)
+    builders = [te.sma.using(), te.bollinger.using(), te.rsi.using(), te.ema.using()]
+    good, got = back(compute(frame(spark, pdf), series, builders)), back(compute(frame(spark, bad), series, builders))
+    rows = np.arange(n)
+    far = np.ones(n, bool)
+    for at in (300, 700, 1_100):
+        far &= (rows < at) | (rows > at + 60)
+    for c in ("sma_5", "sma_20", "sma_50", "bb_upper", "rsi_14"):
+        if c in good.columns:
+            np.testing.assert_allclose(got[c][far].astype(float), good[c][far].astype(float), rtol=1e-9, err_msg=c)
+    want, total, weight = [], 0.0, 0.0
+    for k, x in enumerate(bad.close[:1_100]):  # the values that are there share the weight of all
+        w = 1.0 if k == 0 else 0.25
+        total, weight = 0.75 * total + (w * x if np.isfinite(x) else 0.0), 0.75 * weight + (w if np.isfinite(x) else 0.0)
+        want.append(total / weight)
+    np.testing.assert_allclose(got.ema_7[:1_100].astype(float), want, rtol=1e-9)
+    assert np.isfinite(got.ema_7[rows > 1_100].astype(float)).all()
+
+
+def test_long_frames_equal_pandas(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=900) + 50
+    pdf = pd.DataFrame({"instrument": "a", "time": pd.date_range("2024-01-01", periods=900, freq="min"), "close": x})
+    got = back(te.sma(frame(spark, pdf), Series(step=60, block=256), periods=(64, 65, 200)))
+    for n in (64, 65, 200):
+        np.testing.assert_allclose(got[f"sma_{n}"].astype(float), pd.Series(x).rolling(n).mean(), rtol=1e-12)
+
+
+def test_gaps_without_a_grid(spark):
+    """By default lags count rows, also where bars are missing before a block edge."""
+    pdf = bars(9_000, names=("a",))
+    pdf = pdf[(pdf.index < 8_000) | (pdf.index > 8_097)].reset_index(drop=True)
+    got = back(te.returns(frame(spark, pdf)))
+    np.testing.assert_allclose(got["return_30"].astype(float), pdf.close.pct_change(30), rtol=1e-9)
+
+
+def test_equal_times_in_any_order(spark):
+    t = pd.Timestamp("2024-01-01 00:00:10").to_pydatetime()
+    rows = [("a", t, float(p), k) for k, p in enumerate((3, 1, 2, 5))]
+    out = [g.ohlcv_bars(spark.createDataFrame(r, "instrument string, time timestamp_ntz, price double, event_id long"), "M1", tie=("event_id",)).first() for r in (rows, rows[::-1])]
+    assert out[0] == out[1] and (out[0].open, out[0].close) == (3.0, 5.0)
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from marketloom.session import shared_dir
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(ValueError):
+            shared_dir(session)
