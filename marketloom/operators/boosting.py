@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.classification import GBTClassifier
@@ -14,6 +14,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import clean_double
 from ..session import shared_dir
 from .evaluation import auc, regression_metrics
 
@@ -25,13 +26,25 @@ def fit_gbt(
     train: DataFrame, features: Sequence[str], target: str = "target", task: str = "regression", checkpoint_every: int = 10,
     **params,
 ) -> PipelineModel:
-    """Fit boosted trees; lineage of the boosting rounds is cut in the shared folder."""
+    """Fit boosted trees; lineage of the boosting rounds is cut in the shared folder.
+
+    Missing features take the median of the rows fitted on, also when scoring, so no row is lost;
+    a feature without any value counts as 0.  Rows without a target are not fitted on.
+    """
     shared_dir(train.sparkSession)
     options = {**DEFAULTS, **params, "checkpointInterval": checkpoint_every}
     kind = GBTClassifier if task == "classification" else GBTRegressor
     model = kind(featuresCol="_features", labelCol=target, **options)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, model]).fit(train.select(*features, F.col(target).cast("double").alias(target)))
+    doubles = [F.coalesce(clean_double(c), F.lit(float("nan"))).alias(c) for c in features]
+    rows = train.select(*doubles, F.col(target).cast("double").alias(target)).filter(F.col(target).isNotNull())
+    seen = rows.agg(*[F.max(F.when(~F.isnan(c), 1)).alias(c) for c in features]).first()  # one row
+    some = [c for c in features if seen[c]]
+    whole = [SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"CAST({f'coalesce(`{c}`, double(\'NaN\'))' if c in some else '0'} AS DOUBLE) AS `_in_{c}`" for c in features) + " FROM __THIS__")]
+    if some:
+        whole.append(Imputer(inputCols=[f"_in_{c}" for c in some], outputCols=[f"_full_{c}" for c in some], strategy="median"))
+    assembler = VectorAssembler(inputCols=[f"_full_{c}" if c in some else f"_in_{c}" for c in features], outputCol="_features", handleInvalid="keep")
+    return Pipeline(stages=[*whole, assembler, model]).fit(rows)
 
 
 def score_batch(model: PipelineModel, df: DataFrame, task: str = "regression", name: str = "prediction") -> DataFrame:
@@ -39,7 +52,7 @@ def score_batch(model: PipelineModel, df: DataFrame, task: str = "regression", n
     scored = model.transform(df)
     if task == "classification":
         scored = scored.withColumn("probability_up", F.get(vector_to_array("probability"), F.lit(1)))
-    drop = [c for c in ("_features", "rawPrediction", "probability") if c in scored.columns]
+    drop = [c for c in scored.columns if c in ("_features", "rawPrediction", "probability") or c.startswith(("_in_", "_full_"))]
     return scored.drop(*drop).withColumnRenamed("prediction", name)
 
 

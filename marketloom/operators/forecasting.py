@@ -76,7 +76,10 @@ def solve(n: int, means: np.ndarray, sxy: np.ndarray, p: int) -> dict:
 def ols_fit(
     df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = ("instrument",), where: Column | None = None
 ) -> DataFrame:
-    """One fit per key: coefficients (intercept first) and fit statistics."""
+    """One fit per key: coefficients (intercept first) and fit statistics.
+
+    A key with too few rows keeps its row with ``n_obs`` and nulls.
+    """
     p = len(features)
     stats = moments(df, features, target, keys, where)
     key_fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in stats.select(*keys).schema.fields)
@@ -86,6 +89,7 @@ def ols_fit(
             rows = []
             for r in batch.to_dict("records"):
                 if r["n_obs"] <= p + 1:
+                    rows.append({**{k: r[k] for k in keys}, "n_obs": int(r["n_obs"]), "coef": None, "xtx_inv": None})
                     continue
                 means, sxy = _unpack(r["n_obs"], r["means"], r["comoments"])
                 rows.append({**{k: r[k] for k in keys}, **solve(r["n_obs"], means, sxy, p)})
@@ -145,7 +149,7 @@ def forecast_weights(fits: DataFrame, steps: int, keys: Sequence[str] = ("instru
     def power(batches):
         for batch in batches:
             out = batch[list(keys)].copy()
-            out["coef"] = [horizon_weights(c, steps) for c in batch["coef"]]
+            out["coef"] = [None if c is None else horizon_weights(c, steps) for c in batch["coef"]]
             yield out
 
     return fits.select(*keys, "coef").mapInPandas(power, key_fields + "coef array<double>")
@@ -188,6 +192,7 @@ def ar_lag_search(
                 rows = []
                 for r in batch.to_dict("records"):
                     if r["n_obs"] <= width + 2:
+                        rows += [{**{k: r[k] for k in keys}, "lag": n, "coef": None, "train_samples": int(r["n_obs"])} for n in wanted]
                         continue
                     means, sxy = _unpack(r["n_obs"], r["means"], r["comoments"])
                     for n in wanted:
@@ -265,6 +270,9 @@ def prediction_interval(
         for batch in batches:
             out = []
             for r in batch.to_dict("records"):
+                if r["coef"] is None:
+                    out += [(*[r[k] for k in keys], r["origin"], step, step * h, *[None] * 5) for step in range(1, steps + 1)]
+                    continue
                 beta, inv = np.asarray(r["coef"]), np.stack([np.asarray(x) for x in r["xtx_inv"]])
                 cov, state = inv * r["sigma2"], list(r["lags"])
                 q = student_quantile(r["n_obs"] - len(beta))

@@ -12,22 +12,31 @@ from ..operators import microstructure as mi
 from ..operators import technical as te
 from ..operators import volatility as vo
 from .catalog import cols, lag, query, rnd, roll, sql
-from .inputs import HOURLY, MINUTE, bars, hourly, minute_grid, ticks
+from .inputs import HOURLY, MINUTE, OHLCV, bars, hourly, minute_grid, ticks
 
 G = "grid_1h"
 
 
 def simple(name, op, columns, select, *, ctes: str = "", source: str = G, needs=(G,), recursive=False, ints=(), **params):
-    """Register a per-bar feature over the hourly grid."""
+    """Register a per-bar feature over the hourly grid, and as ``<name>_m1`` over the minute grid.
+
+    The minute grid has several block and sub-block edges in each series.  Recursive checks take
+    one step of SQL a row and stay on the hourly grid.
+    """
     floats = [c for c in columns if c not in ints]
     inner = f"f AS (SELECT instrument, time, {select} FROM {source})"
     tail = ", ".join(([rnd(*floats)] if floats else []) + list(ints))
-    text = sql(f"{ctes}{inner} SELECT instrument, time, {tail} FROM f", *needs, recursive=recursive)
+    body = f"{ctes}{inner} SELECT instrument, time, {tail} FROM f"
 
-    @query(name, text)
+    @query(name, sql(body, *needs, recursive=recursive))
     def run(spark, d):
         return cols(op(hourly(spark, d), HOURLY, **params), columns)
 
+    if not recursive:
+        @query(f"{name}_m1", sql(body.replace("_1h", "_1m"), *[n.replace("_1h", "_1m") for n in needs]))
+        def run_m1(spark, d):
+            return cols(op(g.grid_reindex_ffill(bars(spark, d, "M1"), MINUTE).select(*OHLCV), MINUTE, **params), columns)
+
 
 def named(pairs) -> str:
     return ", ".join(f"{e} AS {n}" for n, e in pairs.items())

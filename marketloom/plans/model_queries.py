@@ -129,7 +129,7 @@ def training(s, d):
     wide = compute(h, HOURLY, [te.returns.using(steps=(1, 5, 10)), te.rsi.using(periods=(14,)), te.sma.using(periods=(7,)),
                                te.rolling_volatility.using(periods=(20,))])
     lab = labelled(s, d).select("instrument", "time", F.col("target_pct_change").alias("target"), "target_classification")
-    return wide.join(lab, ["instrument", "time"]).dropna(subset=FEATURES)
+    return wide.join(lab, ["instrument", "time"])
 
 
 @query("fit_gbt")

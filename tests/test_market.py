@@ -259,3 +259,19 @@ def test_no_local_folder_on_a_cluster():
         session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
         with pytest.raises(ValueError):
             shared_dir(session)
+
+
+def test_no_row_and_no_key_is_lost(spark):
+    """Missing features are imputed when fitting and scoring; keys with too few rows keep a row."""
+    from marketloom.operators import boosting as bo
+
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"key": ["a"] * 200 + ["b"] * 2, "x": rng.normal(size=202), "z": rng.normal(size=202), "none": np.nan})
+    pdf["target"] = 2 * pdf.x - pdf.z
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(F.rand(1) > 0.5, F.col("x"))).withColumn("none", F.lit(None).cast("double"))
+    model = bo.fit_gbt(df, ["x", "z", "none"], maxDepth=2, maxIter=2)
+    scored = bo.score_batch(model, df)
+    assert scored.columns == [*df.columns, "prediction"] and scored.count() == 202 and scored.filter("prediction IS NULL").count() == 0
+    fits = {r.key: r for r in fo.ols_fit(spark.createDataFrame(pdf), ["x", "z"], "target", ("key",)).collect()}
+    assert fits["b"].coef is None and fits["b"].n_obs == 2
+    np.testing.assert_allclose(fits["a"].coef, [0, 2, -1], atol=1e-9)
