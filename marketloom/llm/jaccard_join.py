@@ -34,9 +34,9 @@ from .components import components
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 LEVELS = 3
 #: A node with more sets is split by further tokens; at the deepest level it is compared in blocks.
-LEAF, BLOCK = 100, 1_000
+#: Comparing 2,048 sketches takes less than sending as many sets through another level would.
+LEAF, BLOCK = 2_048, 2_048
 SKETCH = 64
-#: Equal sketch bytes (of 64) that a pair needs: 4 standard deviations below those of the threshold.
 MULTIPLIERS = np.random.RandomState(5_040).randint(1 << 62, size=1_024, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -53,6 +53,7 @@ def runs_for(recall: float, levels: int) -> int:
 
 
 def least_equal(threshold: float) -> int:
+    """Equal sketch bytes that a pair needs: 4 standard deviations below those of the threshold."""
     return math.floor(SKETCH * threshold - 4 * math.sqrt(SKETCH * threshold * (1 - threshold)))
 
 
