@@ -3,10 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import BUCKET, carry_forward, epoch_seconds, floor_div
+from ..functions.pages import main_text
 from ..functions.text import RELEVANCE_KEYWORDS
 
 
@@ -43,58 +45,17 @@ def normalize_timestamp(df: DataFrame, column: str, name: str = "published_at")
     return df.withColumn(name, F.coalesce(*forms).cast("timestamp_ntz"))
 
 
-# Parts of a page that hold no article text, and common entities.
-PAGE_NOISE = ("script", "style", "nav", "header", "footer", "aside")
-CONTAINER_CLASSES = ("article-content", "article-body", "story-body", "content-body", "entry-content")
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"),
-    ("&mdash;", "—"), ("&amp;", "&"),
-)
-NOISE_PATTERN = "(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in PAGE_NOISE)
-CONTAINER_PATTERNS = (
-    (r"(?is)<article\b[^>]*>(.*?)</article\s*>",)
-    + tuple(rf'(?is)<[a-z0-9]+\b[^>]*class="[^"]*{c}[^"]*"[^>]*>(.*)' for c in CONTAINER_CLASSES)
-    + (
-        r'(?is)<[a-z0-9]+\b[^>]*itemprop="articleBody"[^>]*>(.*)',
-        r"(?is)<main\b[^>]*>(.*?)</main\s*>",
-        r'(?is)<[a-z0-9]+\b[^>]*role="main"[^>]*>(.*)',
-        r'(?is)<[a-z0-9]+\b[^>]*class="(?:[^"]* )?content(?: [^"]*)?"[^>]*>(.*)',
-        r'(?is)<[a-z0-9]+\b[^>]*id="content"[^>]*>(.*)',
-        r"(?is)<body\b[^>]*>(.*)",
-    )
-)
-OPEN_MARK, CLOSE_MARK = "\u0001", "\u0002"
-
-
 def html_main_text(df: DataFrame, html: str = "html", name: str = "main_text", minimum: int = 100) -> DataFrame:
     """Paragraph text of a page's main container, blanks collapsed, null when too short.
 
-    A paragraph ends at its closing tag or, as in HTML, where the next one opens.
+    Nesting, any way of quoting attributes and all character references need a tokenizer, which SQL
+    has not: pages go through the standard library's in Arrow batches.
     """
-    clean = F.regexp_replace(F.col(html), NOISE_PATTERN, " ")
-    found = [F.nullif(F.regexp_extract("_clean", p, 1), F.lit("")) for p in CONTAINER_PATTERNS]
-    marked = F.regexp_replace(
-        F.regexp_replace(F.col("_main"), r"(?i)<p\b[^>]*>", OPEN_MARK), r"(?i)</p\s*>", CLOSE_MARK
-    )
-    pieces = F.split("_marked", OPEN_MARK)
-    inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-
-    def plain(piece: Column) -> Column:
-        text = F.regexp_replace(F.split_part(piece, F.lit(CLOSE_MARK), F.lit(1)), r"(?s)<[^>]*>", "")
-        for entity, char in ENTITIES:
-            text = F.replace(text, F.lit(entity), F.lit(char))
-        return F.trim(F.regexp_replace(text, r"\s+", " "))
+    @F.pandas_udf("string")
+    def text(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: main_text(page, minimum), na_action="ignore")
 
-    text = F.array_join(F.filter(F.transform(inner, plain), lambda x: F.length(x) > 0), " ")
-    return (
-        df.withColumn("_clean", clean)
-        .withColumn("_main", F.coalesce(*found, F.col("_clean")))
-        .withColumn("_marked", marked)
-        .withColumn(name, text)
-        .withColumn(name, F.when(F.length(name) > minimum, F.col(name)))
-        .drop("_clean", "_main", "_marked")
-    )
+    return df.withColumn(name, text(F.col(html).cast("string")))
 
 
 def dedup_headline_earliest(df: DataFrame, time: str = "published_at", key: str = "article_id") -> DataFrame:

@@ -3,6 +3,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions.series import Series
@@ -123,3 +124,19 @@ def test_late_row_is_dropped(spark, tmp_path):
     put("b", [("a", "2024-01-01 00:00:30", 9.0), ("a", "2024-01-01 00:31:00", 3.0), ("a", "2024-01-01 01:00:00", 3.0)])
     got = {str(r.time)[11:16]: r.volume for r in run().collect()}
     assert got == {"00:00": 1, "00:30": 1, "00:31": 1}
+
+
+LONG = "word " * 30
+
+
+@pytest.mark.parametrize("html,want", [
+    (f"<body><p>{LONG}<div class='content'><p>{LONG}in</div><p>out</p></body>", LONG + "in"),  # a closed container ends
+    (f"<div class=sidebar><p>no</p></div><div class=article-body><p>{LONG}&#8217;&eacute;</p></div><p>no", LONG + "’é"),  # unquoted, references
+    (f"<article><p>{LONG}<article><p>inner</p></article><p>tail</p></article><p>no</p>", LONG + "inner tail"),  # nested
+    (f"<main><p>no {LONG}</p></main><article><nav><p>menu</p></nav><p>{LONG}x<script>var p='<p>'</script>y</p></article>", LONG + "xy"),
+    (f'<div role="main"><p>{LONG}<b>bold</b> <i>it', LONG + "bold it"),  # never closed
+    (f"<p>{LONG}a</p><p></p><p> b </p>", LONG + "a b"), ("<p>short</p>", None), (None, None), ("", None)])
+def test_page_text(html, want):
+    from marketloom.functions.pages import main_text
+
+    assert main_text(html) == (" ".join(want.split()) if want else None)
