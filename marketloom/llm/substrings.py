@@ -199,7 +199,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, gr
     first = named.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("first"))
     heads = named.join(first, "digest").filter("doc_id = first").dropDuplicates(["doc_id", "tag"])
     each = heads.select("doc_id", "tag", F.explode("seeds").alias("seed"))
-    shared = each.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("seed", "n")
+    counts = each.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("seed", "n")
+    # written first, so that both sides of the join are dealt anew and a hot seed's rows can be split
+    shared = materialize(counts, "substring-seeds")
     per_doc = each.join(shared, "seed").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("seed", "n")).alias("shared"))
     per_doc = per_doc.select("doc_id", "tag", F.col("shared.seed").alias("seeds"), F.col("shared.n").alias("many"))
     texts = ids_and_texts(docs).filter("doc_id IS NOT NULL").join(per_doc.select("doc_id", "seeds", "many", "tag"), "doc_id")
