@@ -74,7 +74,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 class ContextTrees:
     """Frozen code lengths: row of a context, then one value per language for each symbol."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER, contexts: int = 20_000):
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER, contexts: int = 10_000):
         self.langs, self.order = langs, order
         seen = np.unique(gram & 0xFF)
         # code 0 stands for all bytes that no sample has
@@ -149,7 +149,7 @@ class ContextTrees:
         return out
 
 
-def learn(docs: DataFrame, per_language: int = 1_000, order: int = ORDER, contexts: int = 20_000) -> ContextTrees | None:
+def learn(docs: DataFrame, per_language: int = 1_000, order: int = ORDER, contexts: int = 10_000) -> ContextTrees | None:
     """Context trees of the labelled documents given; None if there are none."""
     labelled = ids_and_texts(docs, F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND length(text) > 0")
     counts = gram_counts(sample_by_hash(labelled, "lang", per_language), order).toArrow()
