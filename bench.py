@@ -23,7 +23,7 @@ from marketloom.session import build_session, materialize
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 CATALOGUE = ("ohlcv_bars_m1", "grid_reindex_ffill", "lexicon_sentiment", "news_signal_windows", "dedup_headline_earliest",
-             "html_main_text", "median_impute", "ks_drift", "auc", "split_dates", "ar_recursive_forecast", "stream_bars")
+             "html_main_text", "median_impute", "ks_drift", "auc", "split_dates", "ar_recursive_forecast", "stream_bars", "training_table")
 
 
 def main() -> None:
