@@ -122,32 +122,33 @@ def packed(nodes: DataFrame) -> DataFrame:
 LISTS = "node long, list binary"
 
 
-def first_lists(vectors: DataFrame, k: int, chunk: int, draw: int) -> DataFrame:
-    """The k best of a random chunk; another `draw` gives other chunks."""
+def first_lists(vectors: DataFrame, k: int, chunk: int, draw: int, n: int) -> DataFrame:
+    """The k best of a random chunk of about `chunk` of the n nodes; another `draw` gives other chunks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        vecs: list[bytes] = []
+        held, ids, vecs = None, [], []
 
-        def flush(n: int) -> pa.RecordBatch:
-            own, x = np.array(ids[:n]), unpack_vectors(vecs[:n])
-            out = []
-            for at in range(0, n, 512):
+        def lists() -> pa.RecordBatch:
+            own, x, out = np.array(ids), unpack_vectors(vecs), []
+            take = min(k, len(own) - 1)
+            for at in range(0, len(own), 512):
                 s = x[at:at + 512] @ x.T
                 s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-                take = min(k, n - 1)
                 best = np.argpartition(-s, take - 1, 1)[:, :take] if take > 0 else np.empty((len(s), 0), int)
                 out += [(int(own[at + r]), pack_list(own[best[r]], s[r, best[r]])) for r in range(len(s))]
-            del ids[:n], vecs[:n]
             return batch_of(LISTS, out)
         for b in batches:
-            ids += b.column(0).to_pylist()
-            vecs += b.column(1).to_pylist()
-            while len(ids) >= 2 * chunk:
-                yield flush(chunk)
+            for c, node, vec in zip(*(b.column(m).to_pylist() for m in range(3))):
+                if c != held and ids:
+                    yield lists()
+                    ids, vecs = [], []
+                held = c
+                ids.append(node)
+                vecs.append(vec)
         if ids:
-            yield flush(len(ids))
-    order = F.xxhash64("node", F.lit(draw))
-    return vectors.repartition(order).sortWithinPartitions(order).mapInArrow(run, LISTS)
+            yield lists()
+    # the chunk is a key of its own, so its size doesn't depend on the number of partitions
+    numbered = vectors.select(F.pmod(F.xxhash64("node", F.lit(draw)), F.lit(max(1, round(n / chunk)))).alias("chunk"), "node", "vec")
+    return numbered.repartition("chunk").sortWithinPartitions("chunk", "node").mapInArrow(run, LISTS)
 
 
 def neighbours_in(lists: DataFrame) -> DataFrame:
@@ -232,7 +233,8 @@ def merged(lists: DataFrame, more: DataFrame, k: int) -> DataFrame:
 def build_graph(vectors: DataFrame, k: int = K, chunk: int = CHUNK, rounds: int = ROUNDS) -> DataFrame:
     """Neighbour lists (node, list) of packed vectors (node, vec), by NN-descent."""
     # two draws of chunks: lists of one draw alone would never lead out of their chunk
-    lists = materialize(merged(first_lists(vectors, k, chunk, 0), first_lists(vectors, k, chunk, 1), k).select("node", "list"), "nn-lists")
+    n = vectors.count()
+    lists = materialize(merged(first_lists(vectors, k, chunk, 0, n), first_lists(vectors, k, chunk, 1, n), k).select("node", "list"), "nn-lists")
     for _ in range(rounds):
         new = materialize(merged(lists, updates(neighbourhoods(lists, vectors, k), SENT), k), "nn-lists")
         changed, n = new.agg(F.sum("changed"), F.count("*")).first()  # one row
