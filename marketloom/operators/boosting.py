@@ -2,15 +2,16 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,17 +127,53 @@ def two_stage_tuning(
     return first, second
 
 
+def pairwise_correlation(df: DataFrame, features: Sequence[str]) -> np.ndarray:
+    """Pearson's correlation of each two features over the rows that hold both; NaN where there is none.
+
+    Each task adds up the products of its rows by matrix products, one row of sums per task; values are
+    taken relative to their mean, so that large levels cost no digits.
+    """
+    p = len(features)
+    if not p:
+        return np.empty((0, 0))
+    values = df.select(*[F.coalesce(clean_double(c), F.lit(float("nan"))).alias(f"c{k}") for k, c in enumerate(features)])
+    known = [F.when(~F.isnan(f"c{k}"), F.col(f"c{k}")) for k in range(p)]
+    moments = values.agg(*[f(c) for c in known for f in (F.avg, F.stddev_pop)]).first()  # one row
+    center = np.array([x or 0.0 for x in moments[::2]])
+    scale = np.array([x or 1.0 for x in moments[1::2]])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, p, p))
+        for b in batches:
+            x = (np.column_stack([c.to_numpy() for c in b.columns]) - center) / scale
+            there = (~np.isnan(x)).astype(np.float64)
+            x = np.nan_to_num(x)
+            # common rows; sum and sum of squares of the first over them; sum of products
+            total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(total.size), pa.int32()), "total": total.ravel()})
+    rows = values.mapInArrow(sums, "at int, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()  # four per pair
+    flat = np.zeros(4 * p * p)
+    for r in rows:
+        flat[r["at"]] = r["total"]
+    n, s, q, xy = flat.reshape(4, p, p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = q - s * s / n
+        spread = np.where(spread > 1e-12 * q, spread, np.nan)
+        return (xy - s * s.T / n) / np.sqrt(spread * spread.T)
+
+
 def corr_feature_filter(
     df: DataFrame, importance: DataFrame, minimum: float = 0.001, max_correlation: float = 0.95, keep: int = 50
 ) -> DataFrame:
     """Features important enough and not strongly correlated with a more important one.
 
-    The correlation matrix is one distributed Gram matrix; the greedy pass handles names only.
+    Each correlation is over the rows in which both features are present (NaN and infinities are
+    missing), so no row is lost to a third feature.  A pair without a correlation (fewer than two common
+    rows, or no spread) drops neither.  The greedy pass handles names only.
     """
     ranked = [r["feature"] for r in importance.filter(F.col("importance") >= minimum).orderBy(F.col("importance").desc(), "feature").collect()]
     ranked = [f for f in ranked if f in df.columns]
-    vectors = VectorAssembler(inputCols=ranked, outputCol="v", handleInvalid="skip").transform(df.select(*ranked))
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    matrix = pairwise_correlation(df, ranked)
     kept: list[int] = []
     for i in range(len(ranked)):
         if all(not abs(matrix[i][j]) > max_correlation for j in kept) and len(kept) < keep:
