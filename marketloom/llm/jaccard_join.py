@@ -14,8 +14,9 @@ one class from the start, whatever their number.
 
 Tokens are runs of `n` words (64-bit hashes); a text with fewer words is one token.  Defined results:
 texts without words (and nulls) have no token: each is a class of its own without links; so are rows
-with a null doc_id, with a null class; rows that repeat a doc_id count as further copies; extra columns
-are ignored.
+with a null doc_id, with a null class; rows that repeat a doc_id count as further copies, or, with
+another text, as documents of that text's class; extra columns are ignored.  Classes are known by a
+64-bit hash of their tokens; doc_ids only name them.
 """
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ids_and_texts, materialize, mix, per_batch, shingle_hashes, word_hashes, words_of
@@ -82,8 +83,13 @@ def paths_of(tokens: np.ndarray, runs: int, levels: int, threshold: float) -> tu
     return (mix(least) & np.uint64(0xFF)).astype(np.uint8).tobytes(), np.concatenate(where), np.concatenate(keys).view(np.int64)
 
 
+#: With the doc_id, it tells rows with different texts apart.
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def scan(docs: DataFrame, n: int, runs: int, levels: int, threshold: float) -> DataFrame:
-    """doc_id, digest of the token set, size, sketch, columns and keys of the chosen paths."""
+    """doc_id, hash of the text, digest of the token set, size, sketch, columns and keys of the chosen paths."""
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             digest, size, sketch, where, keys = [], [], [], [], []
@@ -95,10 +101,10 @@ def scan(docs: DataFrame, n: int, runs: int, levels: int, threshold: float) -> D
                 sketch.append(s)
                 where.append(w)
                 keys.append(k)
-            return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "digest": pa.array(digest, pa.binary()), "size": pa.array(size, pa.int64()), "sketch": pa.array(sketch, pa.binary()),
+            return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text_key": b.column(2), "digest": pa.array(digest, pa.binary()), "size": pa.array(size, pa.int64()), "sketch": pa.array(sketch, pa.binary()),
                                                "columns": pa.array(where, pa.list_(pa.int32())), "keys": pa.array(keys, pa.list_(pa.int64()))})
         return work
-    return per_batch(ids_and_texts(docs), make, "doc_id long, digest binary, size long, sketch binary, columns array<int>, keys array<bigint>")
+    return per_batch(ids_and_texts(docs, text_key().alias("text_key")), make, "doc_id long, text_key long, digest binary, size long, sketch binary, columns array<int>, keys array<bigint>")
 
 
 def leaves(classes: DataFrame, levels: int) -> DataFrame:
@@ -280,19 +286,17 @@ def candidates(docs: DataFrame, n: int, threshold: float, recall: float) -> tupl
     runs = runs_for(recall, LEVELS)
     rows = materialize(scan(docs, n, runs, LEVELS, threshold), "join-scan")
     full = rows.filter("doc_id IS NOT NULL AND size > 0")
-    classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("size", "sketch", "columns", "keys")]), "join-classes")
-    # two classes can only share an id where rows repeat a doc_id: the smaller digest takes it
-    own = classes.groupBy("class_id").agg(F.min("digest").alias("digest"))
-    usable = classes.join(own, ["class_id", "digest"])
-    spread = in_blocks(leaves(usable, LEVELS)).join(usable.select("class_id", "size", "sketch"), "class_id")
+    classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("label"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("size", "sketch", "columns", "keys")]).withColumn("class_id", F.xxhash64("digest")), "join-classes")
+    spread = in_blocks(leaves(classes, LEVELS)).join(classes.select("class_id", "size", "sketch"), "class_id")
     live = materialize(alive(spread, threshold), "join-live")
     # nodes with the same live sets would compare the same pairs: one of them is enough
     whole = live.filter("parts = 1")
     best = whole.groupBy("sig").agg(F.min("node").alias("node"))
     kept = whole.join(best, ["sig", "node"]).select("node", "lo", "hi", "block", "class_id").unionByName(live.filter("parts > 1").select("node", "lo", "hi", "block", "class_id"))
     cells = kept.groupBy("class_id").agg(F.collect_set("node").alias("nodes"), F.collect_list(F.struct("node", "lo", "hi", "block")).alias("cells"))
-    cells = cells.join(usable.select("class_id", "copies", "digest"), "class_id")
-    texts = ids_and_texts(docs).join(cells, F.col("doc_id") == F.col("class_id")).select("class_id", "text", "digest", "copies", "nodes", "cells")
+    cells = cells.join(classes.select("class_id", "label", "copies", "digest"), "class_id")
+    # a label is a doc_id of the class; rows that repeat it with another text have another digest
+    texts = ids_and_texts(docs).join(cells, F.col("doc_id") == F.col("label")).select("class_id", "text", "digest", "copies", "nodes", "cells")
     return rows, classes, with_sets(texts, n)
 
 
@@ -314,8 +318,33 @@ def with_sets(texts: DataFrame, n: int) -> DataFrame:
 
 
 def linked_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """class_a, class_b, jaccard of the links between different texts; for tables where these are few."""
-    return verify(candidates(docs, n, threshold, recall)[2], threshold, True)
+    """class_a, class_b, jaccard of the links between different texts; for tables where these are few.
+
+    Classes are named by their smallest doc_id.
+    """
+    _, classes, cells = candidates(docs, n, threshold, recall)
+    named = classes.select("class_id", "label")
+    pairs = verify(cells, threshold, True)
+    for side in ("a", "b"):
+        pairs = pairs.join(named.select(F.col("class_id").alias(f"class_{side}"), F.col("label").alias(side)), f"class_{side}")
+    return pairs.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), "jaccard")
+
+
+def grouped(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """The rows of near_duplicates with text_key, digest and root, the key of the group (null without tokens)."""
+    rows, classes, cells = candidates(docs, n, threshold, recall)
+    found = materialize(verify(cells, threshold, False), "join-links")
+    links = found.groupBy("class_id").agg(F.sum("linked_classes").alias("n_link_classes"), F.sum("linked_copies").alias("linked_copies"))
+    roots = materialize(components(found.filter("root <> class_id").select(F.col("class_id").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("class_id"), "root"), "join-roots")
+    members = roots.unionByName(roots.select(F.col("root").alias("class_id"), "root").distinct())
+    lowest = members.join(classes.select("class_id", "label"), "class_id").groupBy("root").agg(F.min("label").alias("low"))
+    named = members.join(lowest, "root")
+    told = classes.select("digest", "class_id", "label", "copies").join(links, "class_id", "left").join(named, "class_id", "left").select(
+        "digest", F.coalesce("root", "class_id").alias("root"), F.coalesce("low", "label").alias("class_id"), F.col("label").alias("copy_of"),
+        (F.col("copies") - 1 + F.coalesce("linked_copies", F.lit(0))).alias("n_links"), F.coalesce("n_link_classes", F.lit(0)).alias("n_link_classes"))
+    usable = F.col("doc_id").isNotNull() & (F.col("size") > 0)
+    keyed = rows.select("doc_id", "text_key", F.col("size").alias("n_tokens"), F.when(usable, F.col("digest")).alias("digest"))
+    return keyed.join(told, "digest", "left")
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -325,21 +354,26 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     the same token set; n_links: documents linked to it, copies included; n_link_classes: different
     token sets linked to its own; n_tokens.
     """
-    rows, classes, cells = candidates(docs, n, threshold, recall)
-    found = materialize(verify(cells, threshold, False), "join-links")
-    links = found.groupBy("class_id").agg(F.sum("linked_classes").alias("n_link_classes"), F.sum("linked_copies").alias("linked_copies"))
-    roots = components(found.filter("root <> class_id").select(F.col("class_id").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("class_id"), "root")
-    told = classes.select("digest", "class_id", "copies").join(links, "class_id", "left").join(roots, "class_id", "left").select(
-        "digest", F.coalesce("root", "class_id").alias("class_id"), F.col("class_id").alias("copy_of"),
-        (F.col("copies") - 1 + F.coalesce("linked_copies", F.lit(0))).alias("n_links"), F.coalesce("n_link_classes", F.lit(0)).alias("n_link_classes"))
-    usable = F.col("doc_id").isNotNull() & (F.col("size") > 0)
-    keyed = rows.select("doc_id", F.col("size").alias("n_tokens"), F.when(usable, F.col("digest")).alias("digest"))
-    joined = keyed.join(told, "digest", "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"),
-                         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_link_classes", F.lit(0)).alias("n_link_classes"), "n_tokens")
+    return grouped(docs, n, threshold, recall).select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_link_classes", F.lit(0)).alias("n_link_classes"), "n_tokens")
 
 
 def keep_one_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The documents without those that another of their group stands for: the smallest doc_id stays."""
-    gone = near_duplicates(docs, n, threshold, recall).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group: of the smallest doc_id and, where that has several texts or rows in the
+    group, of the smallest digest, text hash and values.  Rows without tokens or without a doc_id stay.
+    """
+    key = ["doc_id", "text_key"]
+    texts = materialize(grouped(docs, n, threshold, recall).filter("root IS NOT NULL").groupBy("root", "digest", *key).agg(F.count("*").alias("n")), "join-texts")
+    first = texts.groupBy("root").agg(F.min(F.struct("doc_id", "digest", "text_key")).alias("f")).select("root", "f.doc_id", "f.digest", "f.text_key", F.lit(True).alias("stays"))
+    fate = texts.join(first, ["root", "digest", *key], "left")
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": text_key()})
+    asked = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")]
+    out = keyed.join(fate.filter("stays IS NULL OR n > 1").select(*asked), ["__id", "__text"], "left_anti").select(*docs.columns)
+    several = materialize(fate.filter("stays AND n > 1").select(*asked), "join-several")
+    if several.isEmpty():
+        return out
+    # written first, so that repeats meet by partial results and not in the task of the join
+    repeats = materialize(keyed.join(several, ["__id", "__text"], "left_semi"), "join-repeats")
+    ones = repeats.groupBy("__id", "__text").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return out.unionByName(ones)
