@@ -3,11 +3,11 @@
 Graph.  Each vector starts with its best `k` among two random chunks.  Then rounds of joins: every
 node's list and a sample of the lists it is in are brought together with their vectors, each two of
 those members are neighbours of neighbours and are scored, and what beats a member's own worst
-neighbour is sent to it.  Rounds end when few lists change.
+neighbour is sent to it.  Rounds end when at most one list entry in a
+thousand changes.
 
 Search.  A query starts from its own list in the graph, expands its best nodes that are not yet
-expanded, a batch in each join, and ends when its best `beam` nodes are all expanded (or after
-`rounds` joins).  Vectors are navigated by 8-bit copies; the final candidates are scored in double
+expanded, a batch in each join, and ends when its best `beam` nodes are all expanded.  Vectors are navigated by 8-bit copies; the final candidates are scored in double
 precision on the original vectors.
 
 Equal vectors are one node.  A result lists members of a node in ascending id; since only `top` rows
@@ -31,8 +31,8 @@ from .common import materialize
 
 TOP = 20
 K, CHUNK, SENT = 32, 4_096, 10
-ROUNDS, FEW_CHANGES = 10, 0.06
-BEAM, EXPANDED, SEARCH_ROUNDS, KEPT = 192, 96, 5, 256
+FEW_CHANGES = 0.001
+BEAM, EXPANDED, KEPT = 192, 96, 256
 
 
 # --- packed vectors and lists ---
@@ -230,12 +230,13 @@ def merged(lists: DataFrame, more: DataFrame, k: int) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node", "late").mapInArrow(run, "node long, list binary, changed int")
 
 
-def build_graph(vectors: DataFrame, k: int = K, chunk: int = CHUNK, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(vectors: DataFrame, k: int = K, chunk: int | None = None) -> DataFrame:
     """Neighbour lists (node, list) of packed vectors (node, vec), by NN-descent."""
     # two draws of chunks: lists of one draw alone would never lead out of their chunk
-    n = vectors.count()
+    n, chunk = vectors.count(), chunk or CHUNK
     lists = materialize(merged(first_lists(vectors, k, chunk, 0, n), first_lists(vectors, k, chunk, 1, n), k).select("node", "list"), "nn-lists")
-    for _ in range(rounds):
+    # lists only get better, so this ends
+    while True:
         new = materialize(merged(lists, updates(neighbourhoods(lists, vectors, k), SENT), k), "nn-lists")
         changed, n = new.agg(F.sum("changed"), F.count("*")).first()  # one row
         lists = new.select("node", "list")
@@ -255,7 +256,8 @@ def greedy_search(queries: DataFrame, lists: DataFrame, vectors: DataFrame, arou
         for b in batches:
             yield batch_of(STATE, [(q, v, x, np.array([q]).tobytes(), 1) for q, v, x in zip(*(b.column(c).to_pylist() for c in range(3)))])
     state = materialize(queries.join(vectors, "node").join(lists, "node").select("node", "vec", "list").mapInArrow(start, STATE), "nn-search")
-    for _ in range(SEARCH_ROUNDS):
+    # every round expands a node more of each query that is still open, so this ends
+    while True:
         def frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
@@ -295,12 +297,12 @@ def greedy_search(queries: DataFrame, lists: DataFrame, vectors: DataFrame, arou
     return state.select("query", "beam")
 
 
-def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, top: int = TOP) -> DataFrame:
+def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, top: int = TOP, chunk: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of every row whose id is divisible by `every`."""
     rows = materialize(usable(vectors, id_column, vector_column).distinct(), "nn-rows")
     nodes, members = (materialize(x, "nn-nodes") for x in nodes_of(rows, top))
     small = materialize(packed(nodes), "nn-vectors")
-    lists = build_graph(small)
+    lists = build_graph(small, chunk=chunk)
     around = materialize(neighbourhoods(lists, small, K), "nn-around")
     asked = rows.filter(F.col("vec_id") % every == 0).join(nodes, "vector").select(F.col("vec_id").alias("query_id"), "node")
     beams = greedy_search(asked.select("node").distinct(), lists, small, around)

@@ -2,7 +2,9 @@
 import random
 from collections import Counter
 
-from marketloom.llm import jaccard_join
+import numpy as np
+
+from marketloom.llm import jaccard_join, neighbours
 
 
 def text(rnd, n):
@@ -25,3 +27,20 @@ def test_keep_one_each_repeated_ids(spark):
     # the links of both texts of doc 30 and doc 7 are found
     got = {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(docs).filter("doc_id IN (7, 9, 30, 40)").collect()}
     assert got == {(7, 7, 2), (9, 7, 2), (30, 30, 1), (30, 30, 0), (40, 30, 1)}
+
+
+def test_nearest_small_chunks(spark):
+    """Chunks hold a hundredth of the vectors, so that the lists come from the descent."""
+    rnd = np.random.RandomState(6)
+    x = rnd.randn(3_000, 12).astype(np.float32)
+    table = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(table, every=60, chunk=30).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, 3_000, 60))
+    hit = 0
+    for q, found in got.items():
+        s = x.astype(np.float64) @ x[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.98 * 20 * len(got)
