@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, language, neighbours, packing, quality, secret_scan, substrings, token_files, toxicity
+from . import bpe, decontaminate, jaccard_join, language, neighbours, packing, quality, secret_scan, substrings, token_files, toxicity
 from .common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages by code length, learned outside the held-out fold."""
     return language.identify(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside 10-word windows of benchmark items."""
+    return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
