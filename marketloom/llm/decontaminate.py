@@ -14,8 +14,9 @@ window.  The join is a prefix-filtered set join at full containment:
 
 All of it are DataFrame operations.  Texts are cut into overlapping segments of `SEGMENT` words before
 words become rows, so that a very long text is no larger a row than others.  Equal texts are known by
-their SHA-256 and verified once.  The lookup is broadcast only if there are at most `MOST_KEYS`
-shingles (counted); else it is a shuffle join, in which Spark splits hot shingles.
+their SHA-256 and verified once.  The lookups of shingles and of texts with candidates are broadcast only if
+they hold at most `MOST_KEYS` 64-bit keys (counted); else they are shuffle joins, in which Spark splits
+hot keys.
 
 Defined results: null or empty texts have no words and are clean; an item without words has no window;
 repeated rows and repeated or null doc_ids give a row each; items that share an item_id are one item;
@@ -33,7 +34,7 @@ from .common import materialize
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEGMENT = 4096
-#: Shingles up to which the lookup table (8 bytes each) is broadcast.
+#: Keys up to which a lookup table (8 bytes each) is broadcast.
 MOST_KEYS = 4_000_000
 
 
@@ -87,12 +88,17 @@ def segments(texts: DataFrame, halo: int) -> DataFrame:
     return words.select("digest", F.explode(cut).alias("s")).select("digest", "s.*")
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """A table of one long, broadcast if it is counted to be small."""
+    return F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+
+
 def matches(texts: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
     """digest, n_words, position, key of the shingles of the texts that some window holds."""
     hashed = with_hashes(segments(texts, max(sizes) - 1), "words").drop("words")
     every = F.concat(*[F.transform(shingle_keys("hashes", n, SEGMENT), lambda k, i: F.struct(i.alias("i"), k.alias("key"))) for n in sizes])
     rows = hashed.select("digest", "n_words", "at", F.explode(every).alias("s")).select("digest", "n_words", (F.col("at") + F.col("s.i")).alias("position"), F.col("s.key").alias("key"))
-    return rows.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, "key").distinct()
+    return rows.join(small(keys), "key").distinct()
 
 
 def prefixes(shingles: DataFrame, found: DataFrame) -> DataFrame:
@@ -107,8 +113,9 @@ def verified(texts: DataFrame, found: DataFrame, prefix: DataFrame, window: int)
     start = F.col("position") - F.col("offset")
     told = found.join(prefix, "key").select("digest", "n_words", start.alias("start"), "length", "phrase")
     told = materialize(told.filter("start >= 0 AND start + length <= n_words").drop("n_words"), "leak-candidates")
-    # the copies of a text are compared once
-    some = texts.join(told.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    # only texts with candidates go on (others whose 64-bit hash is the same fall out below), and copies are compared once
+    hashes = materialize(told.select(F.xxhash64("digest").alias("hash")).distinct(), "leak-texts")
+    some = texts.join(small(hashes), F.xxhash64("digest") == F.col("hash"), "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     asked = told.withColumn("at", F.col("start") - F.col("start") % SEGMENT).groupBy("digest", "at").agg(F.collect_list(F.struct("start", "length", "phrase")).alias("asked"))
     there = lambda x: x.phrase == F.concat_ws(" ", F.slice("words", x.start - F.col("at") + 1, x.length))
     held = segments(some, window - 1).join(asked, ["digest", "at"]).select("digest", F.explode(F.filter("asked", there)).alias("s"))
