@@ -6,11 +6,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, conversation_repair, decontaminate, jaccard_join, language, neighbours, packing, quality, ranked_search, secret_scan, substrings, token_files, toxicity
+from .checks_sql import CONVERSATION_REPAIR, DECONTAMINATION, RANKED_SEARCH
 from .common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Only where SQL can express the whole result.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_decontamination": DECONTAMINATION,
+    "op12_conversation_repair": CONVERSATION_REPAIR,
+    "op13_ranked_search": RANKED_SEARCH,
+}
 
 
 def query(f):
