@@ -131,15 +131,20 @@ class FrameReader:
             yield r, raw[offset:offset + 4 * n]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, frame_bytes: int = 1 << 18, level: int = 3) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, frame_bytes: int = 1 << 18, level: int = 3, file_bytes: int = 64 << 20) -> DataFrame:
     """Encode every whole text and write the ids in ascending doc_id order; returns the manifest.
 
     One row per file: file_no, file, n_docs, n_tokens, n_bytes.  Files are in the order of file_no.
-    The manifest is a written table, so it can be read again without writing the files anew.
+    There is a file for every `file_bytes` of text, and at least one for every core.  Equal rows are
+    told apart by their place in the input, so that they too are dealt over files.  The manifest is a
+    written table, so it can be read again without writing the files anew.
     """
-    rows = (ids_and_texts(docs).withColumn("tie", F.xxhash64("text"))
-            .repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie")
-            .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text"))
+    texts = ids_and_texts(docs)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one row
+    files = max(-(-size // file_bytes), docs.sparkSession.sparkContext.defaultParallelism)
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "place"]
+    rows = (texts.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+            .repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text"))
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,8 @@ from functools import lru_cache
 #: A space that is followed by white space or by nothing: no place to cut.
 INNER_SPACE = re.compile(r" (?=\s|$)")
 LONGEST_KEPT = 64
+#: Texts whose pieces are looked up together.
+TEXTS = 64
 #: Latin letters, then ASCII punctuation without the apostrophe: with a space before them, two pre-tokens.
 WORD_AND_TAIL = re.compile(r"([A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -46,22 +48,25 @@ class PieceMemo:
 
     def of(self, pieces: list[str]) -> list[bytes]:
         """The bytes of pieces that are led by a space."""
+        if len(self.now) > self.keep:
+            self.before, self.now = self.now, {}
         now, before = self.now, self.before
-        if len(now) > self.keep:
-            self.before, self.now = now, {}
-            now, before = self.now, self.before
-        got = list(map(now.get, pieces))
-        if None not in got:
-            return got
-        fresh, long = [], {}
-        for p in {p for p, v in zip(pieces, got) if v is None}:
-            if p in before:
-                now[p] = before[p]
-            else:
-                fresh.append(p)
+        here: dict[str, bytes | None] = dict.fromkeys(pieces)  # few pieces, so that the many lookups stay in cache
+        fresh = []
+        for p in here:
+            v = now.get(p)
+            if v is None:
+                v = before.get(p)
+                if v is None:
+                    fresh.append(p)
+                    continue
+                now[p] = v
+            here[p] = v
         for p, v in zip(fresh, self.compute(fresh)):
-            (now if len(p) <= LONGEST_KEPT else long)[p] = v
-        return [now[p] if v is None and p not in long else long[p] if v is None else v for p, v in zip(pieces, got)]
+            here[p] = v
+            if len(p) <= LONGEST_KEPT:
+                now[p] = v
+        return list(map(here.get, pieces))
 
 
 class LibraryEncoder:
@@ -84,7 +89,9 @@ class LibraryEncoder:
         self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         self.memo = PieceMemo(self._led, keep)
         self.model = self.library.model
-        self.letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        # how the tokenizer spells each byte of a Latin letter
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {b: c for k in (*range(0x41, 0x7B), *range(0xAA, 0x250)) for c, b in zip(spell(chr(k))[0][0], chr(k).encode())}
         self.tails: dict[str, bytes] = {"": b""}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -96,7 +103,7 @@ class LibraryEncoder:
         """Pieces led by a space.  Plain words go to the library's model at once, all else to the whole tokenizer."""
         out: list[bytes | None] = []
         rest: list[int] = []
-        tokenize, letters, tails, match, known = self.model.tokenize, self.letters, self.tails, WORD_AND_TAIL.fullmatch, self.memo.now
+        tokenize, spelling, tails, match, known = self.model.tokenize, self.spelling.__getitem__, self.tails, WORD_AND_TAIL.fullmatch, self.memo.now
         for k, piece in enumerate(pieces):
             m = match(piece)
             if m is None:
@@ -106,7 +113,7 @@ class LibraryEncoder:
             word, tail = m.groups()
             ids = known.get(word) if tail else None
             if ids is None:
-                spelt = "\u0120" + word if word.isascii() else letters(" " + word)[0][0]
+                spelt = "\u0120" + (word if word.isascii() else "".join(map(spelling, word.encode())))
                 ids = array("I", [t.id for t in tokenize(spelt)]).tobytes()
             if tail:
                 if tail not in tails:
@@ -120,7 +127,9 @@ class LibraryEncoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
+        return [ids for k in range(0, len(texts), TEXTS) for ids in self._encode([t or "" for t in texts[k:k + TEXTS]])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._library(texts)
         whole = [k for k, t in enumerate(texts) if self.added is not None and self.added.search(t)]
