@@ -326,16 +326,58 @@ def _interval_join(s, d):
     return st.drain(out, "pairs")
 
 
-@query("stream_drift_alerts")
+def in_files(s, df, time, name, n=4):
+    """The rows as files in order of time, written one after the other: a file stream takes them as micro-batches."""
+    path = scratch_path(s, name)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    slice_no = F.least(F.floor((at - F.lit(lo)) * n / F.lit(max(hi - lo, 1))), F.lit(n - 1))
+    for k in range(n):
+        df.filter(slice_no == k).write.mode("append").parquet(path)
+    return path
+
+
+_kinds = " UNION ALL ".join(
+    f"SELECT instrument, ts, event_id, '{kind}' AS type, b{m} AS baseline, r{m} AS recent, {change.format(m=m)} AS d, {thr}::DOUBLE AS threshold, {thr * high!r}::DOUBLE AS severe FROM w WHERE n = 40"
+    for m, (kind, thr, high, change) in enumerate((("sentiment_drift", 0.152, 2.0, "abs(b{m} - r{m})"), ("prediction_drift", 0.22, 1.5, "abs(b{m} - r{m})"), ("confidence_drop", 0.1, 1.5, "b{m} - r{m}"))))
+_means = ", ".join(f"avg(m{m}) OVER ({_w} ROWS BETWEEN {a} PRECEDING AND {b}) AS {side}{m}" for m in range(3)
+                   for _w in ["PARTITION BY instrument ORDER BY ts, event_id"] for side, a, b in (("b", 39, "20 PRECEDING"), ("r", 19, "CURRENT ROW")))
+
+
+@query("stream_drift_alerts",
+       "WITH p AS (SELECT event_type AS instrument, ts, event_id, ((event_id % 21) - 10) / 10.0 AS m0, (value > 50)::INTEGER AS m1, least(value / 200, 1.0) AS m2 FROM events), "
+       f"w AS (SELECT *, {_means}, count(*) OVER (PARTITION BY instrument ORDER BY ts, event_id ROWS 39 PRECEDING) AS n FROM p), c AS (SELECT * FROM ({_kinds}) WHERE d > threshold "
+       "AND ts <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE), k AS (SELECT instrument, type, unnest(kept) AS us FROM (SELECT instrument, type, list_reduce(list([epoch_us(ts)] ORDER BY ts, event_id), "
+       "lambda acc, x: CASE WHEN x[1] - acc[len(acc)] >= 36000000000 THEN list_concat(acc, x) ELSE acc END) AS kept FROM c GROUP BY instrument, type)) "
+       "SELECT instrument, type, CASE WHEN d > severe THEN 'high' ELSE 'medium' END AS severity, R6(d) AS drift_value, R6(baseline) AS baseline, R6(recent) AS recent, R6(threshold) AS threshold, "
+       "ts AS timestamp, event_id FROM c JOIN k USING (instrument, type) WHERE epoch_us(ts) = us")
 def _alerts(s, d):
-    raw = st.read_stream(s, d, table(s, d, "events").schema, "events.parquet")
-    log = raw.select("event_id", F.col("ts").alias("timestamp"), F.when(F.col("value") > 50, "bullish").otherwise("bearish").alias("prediction"),
+    """Four micro-batches of the log; state per instrument, ten hours of cooldown."""
+    events = table(s, d, "events")
+    raw = st.read_stream(s, in_files(s, events, "ts", "log-files"), events.schema, files=1)
+    log = raw.select("event_id", F.col("event_type").alias("instrument"), F.col("ts").alias("timestamp"), F.when(F.col("value") > 50, "bullish").otherwise("bearish").alias("prediction"),
                      F.least(F.col("value") / 200, F.lit(1.0)).alias("confidence"), (((F.col("event_id") % 21) - 10) / 10.0).alias("avg_sentiment"))
-    return sj.stream_drift_alerts(log, scratch_path(s, "monitor"), CONFIG)
+    found = sj.stream_drift_alerts(log, dr.DriftConfig(0.152, 0.22, 0.1, 20, 600))
+    return st.drain(found, "alerts", keyed=True).drop("message")
+
+
+@query("stream_asof_newest", sql(
+    "m AS (SELECT t.instrument, t.time, t.event_id, s.signal_time, s.trading_signal, s.avg_sentiment FROM ticks t ASOF LEFT JOIN actionable s ON t.time >= s.signal_time "
+    "WHERE t.time <= least((SELECT max(time) FROM ticks), (SELECT max(signal_time) FROM actionable)) - INTERVAL 10 MINUTE) SELECT instrument, time, event_id, "
+    + ", ".join(f"CASE WHEN signal_time >= time - INTERVAL 2 HOUR THEN {x} END AS {n}" for x, n in (("signal_time", "news_signal_time"), ("trading_signal", "news_trading_signal"), ("R6(avg_sentiment)", "news_avg_sentiment")))
+    + " FROM m", "ticks", "actionable"))
+def _asof_newest(s, d):
+    """Both sides as streams in several micro-batches."""
+    bars = ticks(s, d).select("instrument", "time", "event_id")
+    sig = actionable(s, d).select("signal_time", "trading_signal", "avg_sentiment")
+    left = st.read_stream(s, in_files(s, bars, "time", "bar-files"), bars.schema, files=1)
+    right = st.read_stream(s, in_files(s, sig, "signal_time", "signal-files", 3), sig.schema, files=1)
+    return st.drain(sj.stream_asof_newest(left, right), "newest", keyed=True)
 
 
 @query("stream_latest_features", sql(
-    "SELECT instrument, time AS event_timestamp, R6(price) AS price FROM ticks QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY time DESC) = 1", "ticks"))
+    "SELECT instrument, time AS event_timestamp, R6(price) AS price FROM ticks QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY time DESC, price DESC) = 1", "ticks"))
 def _latest(s, d):
-    rows = tick_stream(s, d).select("instrument", F.col("time").alias("event_timestamp"), "price")
-    return sj.stream_latest_features(rows, scratch_path(s, "latest"))
+    rows = ticks(s, d).select("instrument", F.col("time").alias("event_timestamp"), "price")
+    stream = st.read_stream(s, in_files(s, rows, "event_timestamp", "feature-files"), rows.schema, files=1)
+    return sj.stream_latest_features(stream, scratch_path(s, "latest"))

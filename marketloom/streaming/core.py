@@ -1,22 +1,26 @@
 """Running a stream to completion against tables in the shared folder."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
+from contextlib import nullcontext
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .state import rocksdb
 
 DELAY = "10 minutes"
 
 
-def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", fmt: str = "parquet") -> DataFrame:
-    """File source with an explicit schema; ``pattern`` picks the files of one table."""
-    return spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", pattern).load(folder)
+def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", fmt: str = "parquet", files: int | None = None) -> DataFrame:
+    """File source with an explicit schema; ``pattern`` picks the files of one table, ``files`` go into a micro-batch."""
+    reader = spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", pattern)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).load(folder)
 
 
-def drain(stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Append everything available to a Parquet table and read it back.
+def drain(stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None, keyed: bool = False) -> DataFrame:
+    """Append everything available to a Parquet table and read it back; ``keyed`` streams hold state per key.
 
     State, offsets and output live in the shared folder, so a lost executor or a restarted
     driver continues where the checkpoint stands.
@@ -24,11 +28,12 @@ def drain(stream: DataFrame, name: str, path: str | None = None, checkpoint: str
     spark = stream.sparkSession
     path = path or scratch_path(spark, name)
     checkpoint = checkpoint or scratch_path(spark, f"{name}-state")
-    query = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    with rocksdb(spark) if keyed else nullcontext():
+        query = (
+            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -42,27 +47,72 @@ def drain_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int
     query.awaitTermination()
 
 
-class VersionedTable:
-    """A small table rewritten per micro-batch: version = batch id, so a retry overwrites itself."""
+class LatestTable:
+    """A table of one row per key in hash parts, of which a micro-batch rewrites only those it touches.
+
+    ``data/batch=N/part=K`` holds part K as batch N left it; ``manifest/N`` lists for every part the batch
+    that wrote it last (a row per part).  A batch is done when its manifest is; a retry writes the same
+    folders anew.  Folders that neither of the last two manifests lists are removed.
+    """
+
+    MANIFEST = "part INT, batch LONG"
+
+    def __init__(self, spark: SparkSession, path: str, schema, keys: Sequence[str], parts: int = 64):
+        self.spark, self.path, self.schema, self.keys, self.parts = spark, path.rstrip("/"), schema, list(keys), parts
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
+    def _numbers(self, name: str, mark: str = "") -> list[int]:
+        fs, folder = self._folder(name)
+        if not fs.exists(folder):
             return []
-        names = [s.getPath() for s in fs.listStatus(hadoop)]
-        done = [p for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()) for p in done)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """Newest finished version (of a batch before the given one)."""
-        versions = [v for v in self._versions() if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{versions[-1]}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{version}")
+        found = [s.getPath() for s in fs.listStatus(folder) if s.isDirectory() and not s.getPath().getName().startswith("_")]
+        done = [p for p in found if not mark or fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, mark))]
+        return sorted(int(p.getName().rpartition("=")[2]) for p in done)
+
+    def _manifest(self, batch: int) -> dict[int, int]:
+        return {r.part: r.batch for r in self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifest/{batch}").collect()}  # a row per part
+
+    def _current(self, before: int | None = None) -> dict[int, int]:
+        done = [n for n in self._numbers("manifest", "_SUCCESS") if before is None or n < before]
+        return self._manifest(done[-1]) if done else {}
+
+    def _rows(self, held: Mapping[int, int]) -> DataFrame:
+        paths = [f"{self.path}/data/batch={n}/part={k}" for k, n in held.items()]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        return self._rows(self._current())
+
+    def upsert(self, rows: DataFrame, order: Column, batch: int) -> None:
+        """Keep per key the row that is largest by ``order``."""
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+        columns = [f.name for f in self.schema]
+        newest = lambda df: df.select(*columns).groupBy(*self.keys).agg(F.max_by(F.struct(*columns), order).alias("_r")).select("_r.*")
+        fresh = newest(rows).persist()
+        touched = {r[0] for r in fresh.select(part).distinct().collect()}  # `parts` numbers at most
+        held = self._current(batch)
+        both = newest(fresh.unionByName(self._rows({k: n for k, n in held.items() if k in touched}))).withColumn("part", part)
+        if touched:
+            both.repartition(len(touched), "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/batch={batch}")
+        fresh.unpersist()
+        now = {**held, **dict.fromkeys(touched, batch)}
+        self.spark.createDataFrame(sorted(now.items()), self.MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{batch}")
+        self._clean()
+
+    def _clean(self) -> None:
+        manifests = self._numbers("manifest", "_SUCCESS")
+        kept = {(n, k) for m in manifests[-2:] for k, n in self._manifest(m).items()}
+        for n in self._numbers("data"):
+            for k in self._numbers(f"data/batch={n}"):
+                if (n, k) not in kept:
+                    fs, folder = self._folder(f"data/batch={n}/part={k}")
+                    fs.delete(folder, True)
+            if not any(n == x for x, _ in kept):
+                fs, folder = self._folder(f"data/batch={n}")
+                fs.delete(folder, True)
+        for m in manifests[:-2]:
+            fs, folder = self._folder(f"manifest/{m}")
+            fs.delete(folder, True)

@@ -5,17 +5,23 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.series import epoch_seconds, floor_div
 from ..operators.asof import asof_zero_fill
-from ..operators.drift import DEFAULTS, DriftConfig, all_drifts
+from ..operators.drift import DEFAULTS, DriftConfig
 from ..operators.signals import signal_strength, trading_signal, window_aggregates
 from ..session import scratch_path
-from .core import DELAY, VersionedTable, drain_batches
+from ..sources.tables import orderable
+from .core import DELAY, LatestTable, drain_batches
+from .state import DriftWatch, NewestMatch
 
 ALERT = ("type STRING, severity STRING, drift_value DOUBLE, baseline DOUBLE, recent DOUBLE, threshold DOUBLE, "
          "message STRING, timestamp TIMESTAMP_NTZ")
 
+#: Times inside JSON keep their microseconds.
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def event_time(df: DataFrame, time: str, delay: str = DELAY) -> DataFrame:
     """Watermarked event time; rows later than the delay are dropped by stateful operators."""
@@ -109,45 +115,63 @@ def stream_interval_join(
     return left.join(right, bounds, "inner").drop("_slot", "_right_slot")
 
 
-def stream_drift_alerts(log: DataFrame, path: str, config: DriftConfig = DEFAULTS) -> DataFrame:
-    """Drift alerts per micro-batch with cooldown.
+def stream_asof_newest(
+    bars: DataFrame, signals: DataFrame, tolerance_seconds: int = 7_200, delay: str = DELAY, time: str = "time",
+    right_time: str = "signal_time", shares: int = 8, prefix: str = "news_",
+) -> DataFrame:
+    """Both sides as streams: every bar once, with the newest signal within the tolerance before it.
 
-    State is the tail of the newest predictions (a top-k) and the alert log, both versioned by
-    batch, so no key collects its history in one task.  Returns the alert table.
+    State is keyed by slots of the tolerance's width; a signal enters its own slot and the next.  The bars of
+    a slot are dealt over ``shares`` by a hash of the row, each of which gets the slot's few signals, so that
+    a busy slot is no single task.  A bar comes out once both watermarks have passed it; of signals with one
+    time the largest (columns in order, as JSON) counts.  Bars without a time have no match and are dropped.
     """
-    spark = log.sparkSession
-    columns = log.columns
-    tail = VersionedTable(spark, f"{path}/tail", log.schema)
-    alerts = VersionedTable(spark, f"{path}/alerts", ALERT)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        order = [F.col("timestamp").desc(), F.col("event_id").desc()]
-        newest = tail.read(batch_id).unionByName(batch.select(*columns)).orderBy(*order).limit(config.newest)
-        tail.write(newest, batch_id)
-        kept = tail.read()
-        last = kept.agg(F.max("timestamp").alias("t")).first()["t"]
-        old = alerts.read(batch_id)
-        if last is not None:
-            found = all_drifts(kept, old, F.lit(last).cast("timestamp_ntz"), config)
-            old = old.unionByName(found.select(*old.columns))
-        alerts.write(old, batch_id)
+    width = tolerance_seconds * 1_000_000
+    values = [c for c in signals.columns if c != right_time]
+    left, right = event_time(bars, time, delay), event_time(signals, right_time, delay)
+    whole = F.struct(*[F.col(c).cast(bars.schema[c].dataType).alias(c) for c in bars.columns])
+    slot = floor_div(F.unix_micros(time), width)
+    asks = left.select(slot.alias("slot"), F.pmod(F.xxhash64(*bars.columns), F.lit(shares)).alias("share"), F.col(time).alias("seen"),
+                       F.unix_micros(time).alias("at"), F.lit(1).cast("long").alias("side"), F.to_json(whole, EXACT).alias("payload"))
+    own = floor_div(F.unix_micros(right_time), width)
+    marks = right.select(F.explode(F.array(own, own + 1)).alias("slot"), right_time, *values)
+    marks = marks.select("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), F.col(right_time).alias("seen"),
+                         F.unix_micros(right_time).alias("at"), F.lit(0).cast("long").alias("side"), F.to_json(F.struct(*values), EXACT).alias("payload"))
+    found = asks.unionByName(marks).groupBy("slot", "share").transformWithStateInPandas(
+        NewestMatch(width, width, ["bar", "signal_at", "signal"]), "bar STRING, signal_at LONG, signal STRING", "Append", "EventTime")
+    bar_schema, signal_schema = bars.schema, T.StructType([signals.schema[c] for c in values])
+    told = found.select(F.from_json("bar", bar_schema, EXACT).alias("b"), "signal_at", F.from_json("signal", signal_schema, EXACT).alias("s"))
+    when = F.timestamp_micros("signal_at").cast(signals.schema[right_time].dataType)
+    return told.select("b.*", when.alias(f"{prefix}{right_time}"), *[F.col(f"s.{c}").alias(f"{prefix}{c}") for c in values])
+
+
+def stream_drift_alerts(
+    log: DataFrame, config: DriftConfig = DEFAULTS, keys: Sequence[str] = ("instrument",), delay: str = DELAY, time: str = "timestamp", tie: str = "event_id"
+) -> DataFrame:
+    """Drift alerts of every key, as a stream: checked at every prediction in event order, with cooldown.
 
-    drain_batches(log, "alerts", handle)
-    return alerts.read()
+    The state of a key is the tail of its measures and the times of its last alerts; rows of a key pass
+    through one task, those of a micro-batch at a time.
+    """
+    filled = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    rows = event_time(log, time, delay).select(
+        *keys, F.col(time).alias("seen"), F.unix_micros(time).alias("at"), F.col(tie).cast("long").alias("tie"), filled(F.col("avg_sentiment")).alias("sentiment"),
+        filled(F.col("prediction") == "bullish").alias("bullish"), filled(F.col("confidence")).alias("confidence"))
+    schema = ", ".join([*[f"{k} {log.schema[k].dataType.simpleString()}" for k in keys], ALERT.replace("TIMESTAMP_NTZ", "TIMESTAMP"), f"{tie} LONG"])
+    columns = [x.split()[0] for x in schema.split(", ")]
+    found = rows.groupBy(*keys).transformWithStateInPandas(DriftWatch(config, columns), schema, "Append", "EventTime")
+    return found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 def stream_latest_features(
-    features: DataFrame, path: str, keys: Sequence[str] = ("instrument",), time: str = "event_timestamp"
+    features: DataFrame, path: str, keys: Sequence[str] = ("instrument",), time: str = "event_timestamp", parts: int = 64
 ) -> DataFrame:
-    """Newest row per key, upserted per micro-batch into a versioned table.  Returns the table."""
-    spark: SparkSession = features.sparkSession
-    table = VersionedTable(spark, path or scratch_path(spark, "latest"), features.schema)
-    columns = features.columns
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        both = table.read(batch_id).unionByName(batch)
-        newest = both.groupBy(*keys).agg(F.max_by(F.struct(*columns), time).alias("_r")).select("_r.*")
-        table.write(newest, batch_id)
+    """Newest row per key, upserted per micro-batch into the parts it touches.  Returns the table.
 
-    drain_batches(features, "latest", handle)
+    Of rows with one time the largest wins, compared column by column in the order of their names.
+    """
+    spark: SparkSession = features.sparkSession
+    table = LatestTable(spark, path or scratch_path(spark, "latest"), features.schema, keys, parts)
+    order = F.struct(time, *orderable(features, sorted(c for c in features.columns if c not in keys)))
+    drain_batches(features, "latest", lambda batch, batch_id: table.upsert(batch, order, batch_id))
     return table.read()
