@@ -125,6 +125,10 @@ def adv_cyclical(df: DataFrame, time: str = "time") -> DataFrame:
     )
 
 
+#: Relative difference up to which two means count as equal.
+NO_TREND = 1e-12
+
+
 @feature
 def adv_trend_regime(c: Context) -> FeatureSet:
     return FeatureSet(
@@ -132,7 +136,8 @@ def adv_trend_regime(c: Context) -> FeatureSet:
             {"sma_20": c.rows.mean("close", 20), "sma_50": c.rows.mean("close", 50)},
             {
                 "trend_strength": div(F.col("sma_20") - F.col("sma_50"), "sma_50"),
-                "is_uptrend": flag(F.col("sma_20") > F.col("sma_50")),
+                # the two sums of a flat price differ in their last bits: that is no trend
+                "is_uptrend": flag(F.col("sma_20") - F.col("sma_50") > NO_TREND * F.abs("sma_50")),
             },
         ],
         50,

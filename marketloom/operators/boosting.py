@@ -16,44 +16,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean_double
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from .evaluation import auc, regression_metrics
+from .importance import importance_cum_bins, importance_knee
 
 # Default tree parameters.
 DEFAULTS = {"maxDepth": 6, "stepSize": 0.1, "maxIter": 200, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
 
 
+def helper_prefix(columns: Sequence[str]) -> str:
+    """Start of the names of helper columns, such that no column of the table begins with it."""
+    prefix = "_gbt_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def fit_gbt(
     train: DataFrame, features: Sequence[str], target: str = "target", task: str = "regression", checkpoint_every: int = 10,
-    **params,
+    validation: DataFrame | None = None, tolerance: float = 0.0, **params,
 ) -> PipelineModel:
     """Fit boosted trees; lineage of the boosting rounds is cut in the shared folder.
 
     Missing features take the median of the rows fitted on, also when scoring, so no row is lost;
     a feature without any value counts as 0.  Rows without a target are not fitted on.
+
+    With ``validation`` rows boosting ends early: once a round improves their error by no more than
+    ``tolerance`` (a share of it), the model keeps the trees up to the best round.  Medians are still of
+    the rows fitted on alone.
     """
     shared_dir(train.sparkSession)
     options = {**DEFAULTS, **params, "checkpointInterval": checkpoint_every}
+    prefix = helper_prefix([*train.columns, *features])
     kind = GBTClassifier if task == "classification" else GBTRegressor
-    model = kind(featuresCol="_features", labelCol=target, **options)
+    model = kind(featuresCol=f"{prefix}features", labelCol=target, **options)
     doubles = [F.coalesce(clean_double(c), F.lit(float("nan"))).alias(c) for c in features]
-    rows = train.select(*doubles, F.col(target).cast("double").alias(target)).filter(F.col(target).isNotNull())
+
+    def fitted_on(df: DataFrame) -> DataFrame:
+        return df.select(*doubles, F.col(target).cast("double").alias(target)).filter(F.col(target).isNotNull())
+
+    rows = fitted_on(train)
     seen = rows.agg(*[F.max(F.when(~F.isnan(c), 1)).alias(c) for c in features]).first()  # one row
     some = [c for c in features if seen[c]]
+    into, full = (lambda c: f"{prefix}in_{c}"), (lambda c: f"{prefix}full_{c}")
     whole = [SQLTransformer(statement="SELECT *, " + ", ".join(
-        f"CAST({f'coalesce(`{c}`, double(\'NaN\'))' if c in some else '0'} AS DOUBLE) AS `_in_{c}`" for c in features) + " FROM __THIS__")]
+        f"CAST({f'coalesce(`{c}`, double(\'NaN\'))' if c in some else '0'} AS DOUBLE) AS `{into(c)}`" for c in features) + " FROM __THIS__")]
     if some:
-        whole.append(Imputer(inputCols=[f"_in_{c}" for c in some], outputCols=[f"_full_{c}" for c in some], strategy="median"))
-    assembler = VectorAssembler(inputCols=[f"_full_{c}" if c in some else f"_in_{c}" for c in features], outputCol="_features", handleInvalid="keep")
-    return Pipeline(stages=[*whole, assembler, model]).fit(rows)
+        whole.append(Imputer(inputCols=[into(c) for c in some], outputCols=[full(c) for c in some], strategy="median"))
+    whole.append(VectorAssembler(inputCols=[full(c) if c in some else into(c) for c in features], outputCol=f"{prefix}features", handleInvalid="keep"))
+    ready = Pipeline(stages=whole).fit(rows)
+    if validation is None:
+        return PipelineModel([*ready.stages, model.fit(ready.transform(rows))])
+    marked = rows.withColumn(f"{prefix}held", F.lit(False)).unionByName(fitted_on(validation).withColumn(f"{prefix}held", F.lit(True)))
+    model = model.setValidationIndicatorCol(f"{prefix}held")
+    model.set(model.validationTol, float(tolerance))
+    return PipelineModel([*ready.stages, model.fit(ready.transform(marked))])
+
+
+def rounds(model: PipelineModel) -> int:
+    """Trees that the model kept."""
+    return model.stages[-1].getNumTrees
 
 
 def score_batch(model: PipelineModel, df: DataFrame, task: str = "regression", name: str = "prediction") -> DataFrame:
     """Predictions for all parts in one pass; ``split`` stays a column."""
+    prefix = model.stages[-1].getFeaturesCol().removesuffix("features")
+    if clash := [c for c in df.columns if c.lower().startswith(prefix) or c in ("rawPrediction", "probability", "prediction")]:
+        raise ValueError(f"columns named like the model's own: {', '.join(clash)}")
     scored = model.transform(df)
     if task == "classification":
         scored = scored.withColumn("probability_up", F.get(vector_to_array("probability"), F.lit(1)))
-    drop = [c for c in scored.columns if c in ("_features", "rawPrediction", "probability") or c.startswith(("_in_", "_full_"))]
+    drop = [c for c in scored.columns if c in ("rawPrediction", "probability") or c.startswith(prefix)]
     return scored.drop(*drop).withColumnRenamed("prediction", name)
 
 
@@ -69,9 +102,11 @@ def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFra
 
 def tune_grid_walk_forward(
     df: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence], target: str = "target", task: str = "regression",
-    folds: int = 3, parallel: int = 2, groups: Mapping[str, Sequence[str]] | None = None, **fixed,
+    folds: int = 3, parallel: int = 2, groups: Mapping[str, Sequence[str]] | None = None, early: bool = True, **fixed,
 ) -> DataFrame:
-    """Fold scores per parameter set (and feature group).
+    """Fold scores per parameter set (and feature group), with the rounds that were boosted.
+
+    With ``early``, a fold's test rows end its boosting (see :func:`fit_gbt`).
 
     ``df`` carries ``test_fold`` and ``train_from_fold`` from ``walk_forward_splits``: a fold
     is never trained on later rows.  Driver threads only submit jobs.
@@ -86,7 +121,7 @@ def tune_grid_walk_forward(
         group, columns, params, fold = job
         train = df.filter(F.col("train_from_fold") <= fold)
         test = df.filter(F.col("test_fold") == fold)
-        model = fit_gbt(train, columns, target, task, **{**fixed, **params})
+        model = fit_gbt(train, columns, target, task, validation=test if early else None, **{**fixed, **params})
         scored = score_batch(model, test, task).withColumn("_all", F.lit(0))
         if task == "classification":
             row = auc(scored, ["_all"], "probability_up", target).first()
@@ -95,11 +130,11 @@ def tune_grid_walk_forward(
             row = regression_metrics(scored, ["_all"], "prediction", target).first()
             score = row["rmse"] if row else None
         label = ",".join(f"{k}={v}" for k, v in params.items())
-        return (group, label, fold, None if score is None else float(score))
+        return (group, label, fold, None if score is None else float(score), rounds(model))
 
     with ThreadPoolExecutor(parallel) as pool:
         rows = list(pool.map(run, jobs))
-    return spark.createDataFrame(rows, "feature_group string, params string, fold int, score double")
+    return spark.createDataFrame(rows, "feature_group string, params string, fold int, score double, rounds int")
 
 
 def best_params(scores: DataFrame, minimize: bool = True) -> DataFrame:
@@ -109,22 +144,39 @@ def best_params(scores: DataFrame, minimize: bool = True) -> DataFrame:
     return means.orderBy(order, "feature_group", "params").limit(1)
 
 
+def groups_by_share(importance: DataFrame, minimum: int = 3) -> dict[str, list[str]]:
+    """Nested feature groups by cumulative importance, and the features up to the knee.  Names only reach the driver."""
+    out: dict[str, list[str]] = {}
+    for r in importance_cum_bins(importance, minimum=minimum).collect():
+        out.setdefault(r["group"], []).append(r["feature"])
+    out["knee"] = [r["feature"] for r in importance_knee(importance).collect()]
+    return {g: sorted(names) for g, names in out.items() if names}
+
+
 def two_stage_tuning(
-    df: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence], importance_groups, target: str = "target",
+    df: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence], importance_groups=groups_by_share, target: str = "target",
     task: str = "regression", folds: int = 3, **fixed,
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     """First the parameters on all features, then the feature groups with the best parameters.
 
-    ``importance_groups(importance)`` maps an importance table to {group: features}.
+    ``importance_groups(importance)`` maps an importance table to {group: features}; the importance is that of
+    a model with the best parameters on all rows that are trained on, boosted for the mean of its folds' rounds.
+    One row per stage, feature group, parameter set and fold; ``chosen`` marks the best set of each stage.
     """
     minimize = task != "classification"
-    first = tune_grid_walk_forward(df, features, grid, target, task, folds, **fixed)
-    chosen = dict(p.split("=") for p in best_params(first, minimize).first()["params"].split(","))
-    typed = {k: type(grid[k][0])(v) for k, v in chosen.items()}
-    model = fit_gbt(df.filter(F.col("train_from_fold").isNotNull()), features, target, task, **{**fixed, **typed})
-    groups = importance_groups(feature_importance(model, features))
-    second = tune_grid_walk_forward(df, features, {k: [v] for k, v in typed.items()}, target, task, folds, groups=groups, **fixed)
-    return first, second
+    first = materialize(tune_grid_walk_forward(df, features, grid, target, task, folds, **fixed), "stage-one")
+    best = best_params(first, minimize).first()
+    picked = dict(p.split("=") for p in best["params"].split(","))
+    typed = {k: type(grid[k][0])(v) for k, v in picked.items()}
+    mean_rounds = first.filter(F.col("params") == best["params"]).agg(F.ceil(F.avg("rounds"))).first()[0]
+    model = fit_gbt(df.filter(F.col("train_from_fold").isNotNull()), features, target, task, **{**fixed, **typed, "maxIter": int(mean_rounds)})
+    groups = {"all": list(features), **importance_groups(feature_importance(model, features))}
+    second = materialize(tune_grid_walk_forward(df, features, {k: [v] for k, v in typed.items()}, target, task, folds, groups=groups, **fixed), "stage-two")
+    last = best_params(second, minimize).first()
+    both = first.withColumn("stage", F.lit(1)).unionByName(second.withColumn("stage", F.lit(2)))
+    won = ((F.col("stage") == 1) & (F.col("params") == best["params"])) | ((F.col("stage") == 2) & (F.col("feature_group") == last["feature_group"]))
+    sizes = F.create_map(*[F.lit(x) for g, names in groups.items() for x in (g, len(names))])
+    return both.withColumn("n_features", sizes[F.col("feature_group")]).withColumn("chosen", won.cast("int"))
 
 
 def pairwise_correlation(df: DataFrame, features: Sequence[str]) -> np.ndarray:

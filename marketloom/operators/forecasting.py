@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import Context, FeatureSet, feature
+from ..functions.frames import attach_by_key
 from ..functions.numeric import div, safe_sqrt
 from ..functions.rolling import Rows
 from ..functions.series import POS, Series, apply_layers, cumulative, floor_div, ordinal
@@ -112,7 +113,7 @@ def ols_predict(
 ) -> DataFrame:
     weights = fits.select(*keys, F.col("coef").alias("_coef"))
     return (
-        df.join(weights, list(keys), "left")
+        attach_by_key(df, weights, list(keys))
         .withColumn(name, dot(F.col("_coef"), [F.col(c) for c in features]))
         .drop("_coef")
     )
@@ -163,22 +164,34 @@ def ar_recursive_forecast(
     return ols_predict(df, forecast_weights(fits, steps, keys), ar_columns(lags, value), keys, name)
 
 
+def squared_error(coef: Sequence[float], n: int, means: np.ndarray, co: np.ndarray) -> float:
+    """Mean squared error of a linear forecast from the moments of rows: regressors first, the truth last.
+
+    The error is linear in the row, so its mean square is its squared mean plus a quadratic form of the co-moments.
+    """
+    p = len(coef) - 1
+    at = [*range(p), len(means) - 1]
+    v = np.array([*coef[1:], -1.0])
+    bias = coef[0] + v @ means[at]
+    return float(bias * bias + v @ (co[np.ix_(at, at)] / n) @ v)
+
+
 def ar_lag_search(
     df: DataFrame, lag_min: int = 1, lag_max: int = 10, steps: int = 30, series: Series = Series(),
-    value: str = "return_30", target: str = "target", split: str = "split", per_lag_rows: bool = False,
+    value: str = "return_30", target: str = "target", split: str = "split", per_lag_rows: bool = False, mae: bool = True,
 ) -> DataFrame:
     """Validation error, AIC and BIC per lag count; ``best`` marks the smallest error.
 
     ``df`` is the ``ar_design`` table for ``lag_max`` with a split column.  By default every
-    lag count uses the rows complete for ``lag_max`` and all fits come from one pass over
-    the training rows.  ``per_lag_rows`` expects a table built with ``drop=False`` and uses
-    the rows complete for each lag count.
+    lag count uses the rows complete for ``lag_max``: one aggregate of the training rows gives all
+    fits, one of the validation rows all squared errors.  ``per_lag_rows`` expects a table built
+    with ``drop=False`` and uses the rows complete for each lag count.  Absolute errors (``mae``) need
+    one more pass over the validation rows, with all fits of a key beside each row.
     """
     keys = list(series.keys)
     columns = ar_columns(lag_max, value)
     lags = list(range(lag_min, lag_max + 1))
-    key_fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keys).schema.fields)
-    schema = key_fields + "lag int, coef array<double>, aic double, bic double, train_samples bigint"
+    train, valid = F.col(split) == "train", F.col(split) == "val"
 
     def complete(n: int) -> Column:
         ok = F.col("y_ar").isNotNull() & F.col(target).isNotNull()
@@ -186,43 +199,50 @@ def ar_lag_search(
             ok = ok & F.col(c).isNotNull()
         return ok
 
-    def fits_for(stats: DataFrame, wanted: Sequence[int], width: int) -> DataFrame:
-        def fit(batches):
+    key_fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keys).schema.fields)
+    schema = key_fields + "lag int, coef array<double>, aic double, bic double, train_samples bigint, val_rmse_target double, val_samples bigint"
+    names = [*keys, "lag", "coef", "aic", "bic", "train_samples", "val_rmse_target", "val_samples"]
+
+    def scores_for(wanted: Sequence[int], width: int) -> DataFrame:
+        """Fits and squared errors of some lag counts over the rows complete for ``width`` lags."""
+        fitted = moments(df, ar_columns(width, value), "y_ar", keys, train & complete(width))
+        judged = moments(df, ar_columns(width, value), target, keys, valid & complete(width))
+        both = fitted.join(judged.select(*keys, *[F.col(c).alias(f"v_{c}") for c in ("n_obs", "means", "comoments")]), keys)  # a row per key
+
+        def score(batches):
             for batch in batches:
                 rows = []
                 for r in batch.to_dict("records"):
-                    if r["n_obs"] <= width + 2:
-                        rows += [{**{k: r[k] for k in keys}, "lag": n, "coef": None, "train_samples": int(r["n_obs"])} for n in wanted]
+                    own = {k: r[k] for k in keys} | {"train_samples": int(r["n_obs"]), "val_samples": int(r["v_n_obs"])}
+                    if r["n_obs"] <= width + 3:
+                        rows += [{**own, "lag": n, "coef": None} for n in wanted]
                         continue
                     means, sxy = _unpack(r["n_obs"], r["means"], r["comoments"])
+                    v_means, v_co = _unpack(r["v_n_obs"], r["v_means"], r["v_comoments"])
                     for n in wanted:
                         s = solve(r["n_obs"], means, sxy, n + 1)
-                        rows.append({**{k: r[k] for k in keys}, "lag": n, "coef": horizon_weights(s["coef"], steps),
-                                     "aic": s["aic"], "bic": s["bic"], "train_samples": s["n_obs"]})
-                yield pd.DataFrame(rows, columns=[*keys, "lag", "coef", "aic", "bic", "train_samples"])
+                        coef = horizon_weights(s["coef"], steps)
+                        error = math.sqrt(max(squared_error(coef, r["v_n_obs"], v_means, v_co), 0.0))
+                        rows.append({**own, "lag": n, "coef": coef, "aic": s["aic"], "bic": s["bic"], "val_rmse_target": error})
+                yield pd.DataFrame(rows, columns=names)
 
-        return stats.mapInPandas(fit, schema)
+        return both.mapInPandas(score, schema)
 
-    train = F.col(split) == "train"
     if per_lag_rows:
-        parts = [fits_for(moments(df, ar_columns(n, value), "y_ar", keys, train & complete(n)), [n], n + 1) for n in lags]
-        fits = parts[0]
-        for p in parts[1:]:
-            fits = fits.unionByName(p)
+        scores = scores_for([lags[0]], lags[0])
+        for n in lags[1:]:
+            scores = scores.unionByName(scores_for([n], n))
     else:
-        fits = fits_for(moments(df, columns, "y_ar", keys, train & complete(lag_max)), lags, lag_max + 1)
-    rows = df.filter(F.col(split) == "val").join(fits, keys)
-    guess = F.get("coef", F.lit(0))
-    for i, c in enumerate(columns, 1):
-        guess = guess + F.when(F.size("coef") > i, F.get("coef", F.lit(i)) * F.col(c)).otherwise(F.lit(0.0))
-    error = guess - F.col(target)
-    usable = error.isNotNull() if per_lag_rows else complete(lag_max)
-    scores = rows.filter(usable).groupBy(*keys, "lag", "aic", "bic", "train_samples").agg(
-        F.sqrt(F.avg(error * error)).alias("val_rmse_target"), F.avg(F.abs(error)).alias("val_mae_target"),
-        F.count(F.lit(1)).alias("val_samples"),
-    )
-    best = scores.groupBy(*keys).agg(F.min_by("lag", F.struct("val_rmse_target", "lag")).alias("_best"))
-    return scores.join(best, keys).withColumn("best", (F.col("lag") == F.col("_best")).cast("int")).drop("_best")
+        scores = scores_for(lags, lag_max)
+    if mae:
+        held = scores.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("lag", "coef"))).alias("_fits"))  # a row per key
+        rows = attach_by_key(df.filter(valid), held, keys, "inner")
+        errors = {n: F.abs(dot(F.try_element_at("_fits", F.lit(n)), [F.col(c) for c in ar_columns(n, value)]) - F.col(target)) for n in lags}
+        means = rows.groupBy(*keys).agg(*[F.avg(F.when(complete(n if per_lag_rows else lag_max), e)).alias(f"_{n}") for n, e in errors.items()])
+        long = means.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("lag"), F.col(f"_{n}").alias("val_mae_target")) for n in lags])).alias("m")).select(*keys, "m.*")
+        scores = scores.join(long, [*keys, "lag"], "left")
+    best = scores.groupBy(*keys).agg(F.min_by("lag", F.when(F.col("val_rmse_target").isNotNull(), F.struct("val_rmse_target", "lag"))).alias("_best"))
+    return scores.join(best, keys).withColumn("best", F.coalesce((F.col("lag") == F.col("_best")).cast("int"), F.lit(0))).drop("_best", "coef")
 
 
 def ar_metrics(
@@ -351,13 +371,100 @@ def dickey_fuller_stat(
     )
 
 
+# Published response surfaces of the unit-root test with a constant (one series): p-values as the
+# normal distribution function of a polynomial in the statistic, below and above a break, and critical values in 1/n.
+UNIT_ROOT_BREAK, UNIT_ROOT_MIN, UNIT_ROOT_MAX = -1.61, -18.83, 2.74
+UNIT_ROOT_LOW = (2.1659, 1.4412, 0.038269)
+UNIT_ROOT_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
+UNIT_ROOT_CRITICAL = {"crit_1": (-3.43035, -6.5393, -16.786, -79.433), "crit_5": (-2.86154, -2.8903, -4.234, -40.040), "crit_10": (-2.56677, -1.5384, -2.809, 0.0)}
+
+
+def unit_root_pvalue(stat: float) -> float:
+    if stat > UNIT_ROOT_MAX:
+        return 1.0
+    if stat < UNIT_ROOT_MIN:
+        return 0.0
+    z = sum(c * stat**k for k, c in enumerate(UNIT_ROOT_LOW if stat <= UNIT_ROOT_BREAK else UNIT_ROOT_HIGH))
+    return 0.5 * math.erfc(-z / math.sqrt(2.0))
+
+
+def merged_moments(parts: Sequence[dict], at: Sequence[int]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and centred products of some columns over several groups of rows."""
+    n = sum(int(p["n_obs"]) for p in parts)
+    means = [np.asarray(p["means"], float)[list(at)] for p in parts]
+    mean = sum(p["n_obs"] * m for p, m in zip(parts, means)) / n
+    total = np.zeros((len(at), len(at)))
+    for p, m in zip(parts, means):
+        _, co = _unpack(p["n_obs"], p["means"], p["comoments"])
+        off = m - mean
+        total += co[np.ix_(at, at)] + p["n_obs"] * np.outer(off, off)
+    return n, mean, total
+
+
+@feature
+def _with_changes(c: Context, value: str, chunk: str, lags: int) -> FeatureSet:
+    near = [c.rows.lag(chunk, k) == F.col(chunk) for k in range(1, lags + 1)]
+    return FeatureSet([
+        {"previous": F.when(c.rows.lag(chunk) == F.col(chunk), c.rows.lag(value).cast("double"))},
+        {"change": F.col(value).cast("double") - F.col("previous")},
+        {f"change_{k}": F.when(near[k - 1], c.rows.lag("change", k)) for k in range(1, lags + 1)},
+    ], lags + 1)
+
+
+def unit_root_test(
+    df: DataFrame, value: str = "close", chunk: str = "chunk", max_lag: int = 12, series: Series = Series()
+) -> DataFrame:
+    """Augmented Dickey-Fuller test with a constant; the number of lagged changes is chosen by AIC.
+
+    One aggregate per chunk gives the moments of the change, the level before and all lagged changes, in
+    groups by how many lags a row has (only the first rows of a chunk lack some).  All lag orders are
+    compared over the rows that have every lag; the chosen one is then fitted over all rows that have its
+    own.  Columns: used_lag, n_obs, adf_stat, p_value, crit_1, crit_5, crit_10, aic (of the comparison).
+    A chunk with too few rows, or a constant one, keeps its row with nulls.
+    """
+    keys = [*series.keys, chunk]
+    names = ["previous", *[f"change_{k}" for k in range(1, max_lag + 1)]]
+    rows = _with_changes(df, series, value=value, chunk=chunk, lags=max_lag)
+    there = sum((F.col(c).isNotNull().cast("int") for c in names[1:]), F.lit(0))
+    stats = moments(rows.filter(F.col("previous").isNotNull()).withColumn("_there", there), names, "change", [*keys, "_there"])
+    parts = stats.groupBy(*keys).agg(F.collect_list(F.struct("_there", "n_obs", "means", "comoments")).alias("parts"))  # max_lag + 1 at most
+    key_fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in parts.select(*keys).schema.fields)
+    fields = ["used_lag", "n_obs", "adf_stat", "p_value", *UNIT_ROOT_CRITICAL, "aic"]
+
+    def judged(groups: list[dict]) -> dict:
+        whole = [g for g in groups if g["_there"] == max_lag]
+        n = sum(int(g["n_obs"]) for g in whole)
+        if n <= max_lag + 3:
+            return {}
+        last = max_lag + 1
+        n, mean, total = merged_moments(whole, range(max_lag + 2))
+        if total[0, 0] <= 0 or total[last, last] <= 0:
+            return {}
+        aic, used = min((solve(n, mean, total, p + 1)["aic"], p) for p in range(max_lag + 1))
+        own = [g for g in groups if g["_there"] >= used]
+        n, mean, total = merged_moments(own, [*range(used + 1), last])
+        fit = solve(n, mean, total, used + 1)
+        if not fit["sigma2"] > 0:
+            return {}
+        stat = fit["coef"][1] / math.sqrt(fit["sigma2"] * fit["xtx_inv"][1][1])
+        critical = {k: sum(c / n**j for j, c in enumerate(v)) for k, v in UNIT_ROOT_CRITICAL.items()}
+        return {"used_lag": used, "n_obs": n, "adf_stat": stat, "p_value": unit_root_pvalue(stat), **critical, "aic": aic}
+
+    def test(batches):
+        for batch in batches:
+            out = pd.DataFrame([{**{k: r[k] for k in keys}, **judged(list(r["parts"]))} for r in batch.to_dict("records")], columns=[*keys, *fields])
+            yield out.astype({"used_lag": "Int64", "n_obs": "Int64"})
+
+    return parts.mapInPandas(test, key_fields + "used_lag int, n_obs bigint, adf_stat double, p_value double, " + "".join(f"{c} double, " for c in UNIT_ROOT_CRITICAL) + "aic double")
+
+
 def kpss_stat(
     df: DataFrame, value: str = "close", chunk: str = "chunk", lags: int = 8, series: Series = Series()
 ) -> DataFrame:
     """Level-stationarity statistic with Bartlett weights over a fixed number of lags."""
     keys = [*series.keys, chunk]
     means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    centred = df.join(means, keys).withColumn("e", F.col(value) - F.col("_mean")).drop("_mean")
+    centred = attach_by_key(df, means, keys, "inner").withColumn("e", F.col(value) - F.col("_mean")).drop("_mean")
     placed = ordinal(centred, series) if series.step is None else centred.withColumn(POS, series.position())
     placed = placed.withColumn("_b", floor_div(F.col(POS), series.block))
     summed = cumulative(placed, keys, "_b", [POS], {"partial": F.col("e")}).drop("_b")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import Context, FeatureSet, feature
+from ..functions.frames import attach_by_key
 from ..functions.numeric import div, flag
 from ..functions.series import ANY_SPACING, POS, Series, ordinal
 
@@ -129,7 +130,7 @@ def split_dates(
     for part in reversed(list(cutoffs)):
         split = F.when(pos < F.col(f"_n_{part}") - 1, part).otherwise(split)
     return (
-        _placed(df, series).join(counts, keys).withColumn(name, split)
+        attach_by_key(_placed(df, series), counts, keys, "inner").withColumn(name, split)
         .drop(POS, LENGTH, *[f"_n_{p}" for p in cutoffs])
     )
 

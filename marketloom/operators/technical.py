@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import Context, FeatureSet, compute, feature
+from ..functions.frames import attach_by_key
 from ..functions.numeric import div
 from ..functions.rolling import warmup
 from ..functions.series import ANY_SPACING, Series
@@ -149,10 +150,10 @@ def rolling_volatility(c: Context, close: str = "close", periods=(20, 50)) -> Fe
 def min_periods_guard(df: DataFrame, keys=("instrument",), minimum: int = 50) -> DataFrame:
     """Drop series with fewer than ``minimum`` rows.
 
-    The counts are one row per key; the join is a semi join on them.
+    The counts are one row per key; the rows of a key are dealt over many tasks.
     """
     enough = df.groupBy(*keys).count().filter(F.col("count") >= minimum).select(*keys)
-    return df.join(enough, list(keys), "left_semi")
+    return attach_by_key(df, enough, list(keys), "left_semi")
 
 
 def drop_sparse_rows(df: DataFrame, share: float = 0.5, columns=None) -> DataFrame:

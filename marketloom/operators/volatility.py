@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import Context, FeatureSet, compute, feature
+from ..functions.frames import attach_by_key
 from ..functions.numeric import div, flag, safe_sqrt
 from ..functions.ranks import exact_median
 from ..functions.rolling import warmup
@@ -129,7 +130,7 @@ def vol_regime(
     """
     medians = exact_median(median_over if median_over is not None else df, list(keys), value, "_median")
     return (
-        df.join(medians, list(keys), "left")
+        attach_by_key(df, medians, list(keys))
         .withColumn("vol_regime_low", flag(F.col(value) < F.col("_median") * low))
         .withColumn("vol_regime_high", flag(F.col(value) > F.col("_median") * high))
         .drop("_median")

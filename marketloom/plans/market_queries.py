@@ -359,7 +359,7 @@ query(
 )(lambda s, d: adv.adv_cyclical(bars(s, d, "M1").select("instrument", "time")))
 
 simple("adv_trend_regime", adv.adv_trend_regime, ["sma_20", "sma_50", "trend_strength", "is_uptrend"],
-       "a AS sma_20, b AS sma_50, (a - b) / nullif(b, 0) AS trend_strength, CASE WHEN a > b THEN 1 ELSE 0 END AS is_uptrend",
+       "a AS sma_20, b AS sma_50, (a - b) / nullif(b, 0) AS trend_strength, CASE WHEN a - b > 1e-12::DOUBLE * abs(b) THEN 1 ELSE 0 END AS is_uptrend",
        ctes=f"x AS (SELECT *, {roll('avg', 'close', 20)} AS a, {roll('avg', 'close', 50)} AS b FROM grid_1h), ",
        source="x", ints=("is_uptrend",))
 STRESS = RET + (

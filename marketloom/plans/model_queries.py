@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.features import compute
+from ..functions.frames import numeric_columns
 from ..functions.series import Series
 from ..operators import boosting as bo
 from ..operators import evaluation as ev
@@ -17,7 +17,8 @@ from ..operators import technical as te
 from ..session import materialize
 from .catalog import cols, cte, query, rnd, sql, table
 from .gold_queries import RATIO, ar_rows, block_rows, closes, labelled
-from .inputs import HOURLY, hourly
+from .inputs import HOURLY, bars, hourly
+from .medallion import silver_market
 
 IRREGULAR = Series(step=None)
 KEYS = ["instrument"]
@@ -49,9 +50,17 @@ def forecasts(s, d):
     return fo.ar_recursive_forecast(rows, fo.ar_ols_fit(rows, 1), 1)
 
 
+def deep_forecasts(s, d):
+    """Seven lags, the depth in use; the SQL twin above solves two regressors."""
+    rows = ar_rows(s, d, 7)
+    return fo.ar_recursive_forecast(rows, fo.ar_ols_fit(rows, 7), 7)
+
+
 query("ar_recursive_forecast", sql(_FORECAST + "x AS (SELECT * FROM f WHERE step = 30) SELECT instrument, time, R6(p) AS forecast FROM x", "ar_rows", recursive=True))(
     lambda s, d: cols(forecasts(s, d), ["forecast"]))
 _split = RATIO.replace("pos", "(row_number() OVER w - 1)").replace("n *", "count(*) OVER (PARTITION BY instrument) *")
+query("ar_recursive_forecast_7")(lambda s, d: cols(deep_forecasts(s, d), ["forecast"]))
+query("ar_metrics_7")(lambda s, d: fo.ar_metrics(la.split_ratio(deep_forecasts(s, d), IRREGULAR)))
 query("ar_metrics", sql(
     _FORECAST + f"x AS (SELECT instrument, p - target AS e, {_split} AS split FROM f WHERE step = 30 WINDOW w AS (PARTITION BY instrument ORDER BY time)) "
     "SELECT instrument, split, R6(sqrt(avg(e * e))) AS rmse, R6(avg(abs(e))) AS mae, count(*) AS rows FROM x GROUP BY 1, 2", "ar_rows", recursive=True))(
@@ -60,8 +69,8 @@ query("ar_metrics", sql(
 
 @query("ar_lag_search")
 def _lag_search(s, d):
-    rows = la.split_ratio(ar_rows(s, d, 5), IRREGULAR)
-    return fo.ar_lag_search(rows, 1, 5, 30, HOURLY)
+    rows = la.split_ratio(ar_rows(s, d, 10), IRREGULAR)
+    return fo.ar_lag_search(rows, 1, 10, 30, HOURLY)
 
 
 @query("direct_h_ols")
@@ -120,48 +129,68 @@ query("kpss_stat", sql(
 
 # --- boosted trees ------------------------------------------------------------------------------
 
-FEATURES = ["return_1", "return_5", "return_10", "rsi_14", "sma_7", "volatility_20"]
-SMALL = {"maxDepth": 3, "maxIter": 5}
+GRID = {"maxDepth": [3, 6], "stepSize": [0.05, 0.1]}
 
 
 def training(s, d):
-    h = hourly(s, d)
-    wide = compute(h, HOURLY, [te.returns.using(steps=(1, 5, 10)), te.rsi.using(periods=(14,)), te.sma.using(periods=(7,)),
-                               te.rolling_volatility.using(periods=(20,))])
+    """All silver features of the hourly grid with both targets."""
+    wide = silver_market(bars(s, d), HOURLY, gaps=False)
     lab = labelled(s, d).select("instrument", "time", F.col("target_pct_change").alias("target"), "target_classification")
     return wide.join(lab, ["instrument", "time"])
 
 
+def feature_names(df):
+    return [c for c in numeric_columns(df) if not c.startswith("target") and c not in ("train_from_fold", "test_fold")]
+
+
 @query("fit_gbt")
 def _fit(s, d):
+    """Default rounds and depth on all features; the validation part ends boosting."""
     data = materialize(la.split_ratio(training(s, d), IRREGULAR), "train")
-    model = bo.fit_gbt(data.filter(F.col("split") == "train"), FEATURES, **SMALL)
-    return bo.feature_importance(model, FEATURES)
+    names = feature_names(data)
+    model = bo.fit_gbt(data.filter(F.col("split") == "train"), names, validation=data.filter(F.col("split") == "val"))
+    return bo.feature_importance(model, names)
 
 
 @query("score_batch")
 def _score(s, d):
     data = materialize(la.split_ratio(training(s, d), IRREGULAR), "train")
-    model = bo.fit_gbt(data.filter(F.col("split") == "train"), FEATURES, "target_classification", "classification", **SMALL)
+    model = bo.fit_gbt(data.filter(F.col("split") == "train"), feature_names(data), "target_classification", "classification",
+                       validation=data.filter(F.col("split") == "val"))
     return bo.score_batch(model, data, "classification").select(
         "instrument", "time", "split", "prediction", "probability_up", F.col("target_classification").alias("actual"))
 
 
+def folds(s, d):
+    return materialize(la.walk_forward_splits(training(s, d), IRREGULAR, 3), "folds")
+
+
 @query("tune_grid_walk_forward")
 def _tune(s, d):
-    data = materialize(la.walk_forward_splits(training(s, d), IRREGULAR, 2), "folds")
-    return bo.tune_grid_walk_forward(data, FEATURES, {"maxDepth": [2, 3]}, folds=2, maxIter=3)
+    data = folds(s, d)
+    return bo.tune_grid_walk_forward(data, feature_names(data), GRID, folds=3)
+
+
+@query("two_stage_tuning")
+def _two_stages(s, d):
+    data = folds(s, d)
+    return bo.two_stage_tuning(data, feature_names(data), GRID, folds=3)
 
 
 @query("corr_feature_filter")
 def _corr(s, d):
-    data = training(s, d).withColumn("sma_copy", F.col("sma_7") * 2 + 1)
-    names = [*FEATURES, "sma_copy"]
+    data = materialize(training(s, d).withColumn("sma_copy", F.col("sma_7") * 2 + 1), "correlated")
+    names = [*feature_names(data)]
     row = data.agg(*[F.abs(F.corr(c, "target")).alias(c) for c in names])
     table_ = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in names])).alias("r")).select("r.*")
     return bo.corr_feature_filter(data, table_, 0.0)
 
 
+@query("unit_root_test")
+def _unit_root(s, d):
+    return fo.unit_root_test(chunked(s, d), series=HOURLY)
+
+
 # --- importance: parts by sold quantity stand in for features by importance -----------------------
 
 cte("importance", "SELECT 'part_' || l_partkey AS feature, sum(l_quantity) AS importance FROM lineitem GROUP BY 1")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import attach_by_key
+
 FORMATS = {".parquet": "parquet", ".csv": "csv"}
 
 
@@ -56,7 +58,7 @@ def resume_from_watermark(incoming: DataFrame, stored: DataFrame, keys: Sequence
     last = stored.groupBy(*keys).agg(F.max(time).alias("_last"))
     start = F.col("_last") + F.make_dt_interval(secs=F.lit(step_seconds))
     return (
-        incoming.join(last, list(keys), "left")
+        attach_by_key(incoming, last, list(keys))
         .filter(F.col("_last").isNull() | (F.col(time) >= start))
         .drop("_last")
     )
