@@ -102,7 +102,7 @@ def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFra
 
 def tune_grid_walk_forward(
     df: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence], target: str = "target", task: str = "regression",
-    folds: int = 3, parallel: int = 2, groups: Mapping[str, Sequence[str]] | None = None, early: bool = True, **fixed,
+    folds: int = 3, parallel: int = 4, groups: Mapping[str, Sequence[str]] | None = None, early: bool = True, **fixed,
 ) -> DataFrame:
     """Fold scores per parameter set (and feature group), with the rounds that were boosted.
 

@@ -129,7 +129,7 @@ query("kpss_stat", sql(
 
 # --- boosted trees ------------------------------------------------------------------------------
 
-GRID = {"maxDepth": [3, 6], "stepSize": [0.05, 0.1]}
+GRID = {"maxDepth": [3, 6]}
 
 
 def training(s, d):
