@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .frames import attach_by_key, attach_row
 
-PARTS = 1_024  # buckets of a key, a power of two
+PARTS = 256  # buckets of a key, a power of two
 ACCURACY = 10 * PARTS  # the sketch's error is a tenth of a bucket
 
 EDGES, BUCKET = "_edges", "_vb"

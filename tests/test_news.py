@@ -140,3 +140,29 @@ def test_page_text(html, want):
     from marketloom.functions.pages import main_text
 
     assert main_text(html) == (" ".join(want.split()) if want else None)
+
+
+@pytest.mark.parametrize("hours", [6, 30, None])
+def test_asof_over_gaps_and_days(spark, hours):
+    """Rows of any spacing, days without rows or news, tied and null times; against a loop."""
+    rng = np.random.default_rng(11)
+    start = pd.Timestamp("2024-01-01")
+    left = [(k, (start + pd.Timedelta(minutes=int(m))).to_pydatetime(), int(i)) for k in "abc" for i, m in enumerate(sorted(rng.choice(14 * 1_440, 60, replace=False)))]
+    news = sorted({(start + pd.Timedelta(minutes=int(m))).to_pydatetime() for m in rng.choice(9 * 1_440, 14, replace=False)})
+    l = ntz(spark.createDataFrame(left, "instrument string, time timestamp, n int"), "time").repartition(3)
+    r = ntz(spark.createDataFrame([(t, float(i)) for i, t in enumerate(news)], "signal_time timestamp, avg_sentiment double"), "signal_time")
+    got = {(x.instrument, x.n): (x.news_avg_sentiment, x.news_rows_since_update) for x in ao.asof_ffill(l, r, tolerance_hours=hours).collect()}
+    joined = {(x.instrument, x.n): x.news_avg_sentiment for x in ao.asof_join(l, r, tolerance=None if hours is None else hours * 3_600, deals=3).collect()}
+    for k in "abc":
+        kept = since = before = None
+        for _, t, n in [x for x in left if x[0] == k]:
+            near = [i for i, s in enumerate(news) if s <= t and (hours is None or t - s <= pd.Timedelta(hours=hours))]
+            now = float(near[-1]) if near else None
+            since = 0 if now is not None and now != before else None if since is None else since + 1
+            kept, before = now if now is not None else kept, now
+            assert got[k, n] == (kept, since) and joined[k, n] == now
+    start = start.to_pydatetime()
+    ties = spark.createDataFrame([("a", start, 1.0), ("a", start, 3.0), ("b", start, 2.0)], "instrument string, signal_time timestamp, x double")
+    some = spark.createDataFrame([("a", start, "m"), ("b", start, "m"), ("c", start, "m"), ("a", None, "m")], "instrument string, time timestamp, _row string")
+    out = ao.asof_join(some, ties, keys=["instrument"], ties=["x"]).collect()
+    assert sorted((x.instrument, x.time is None, x.news_x, x._row) for x in out) == [("a", False, 3.0, "m"), ("a", True, None, "m"), ("b", False, 2.0, "m"), ("c", False, None, "m")]
