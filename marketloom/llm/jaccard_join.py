@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, materialize, mix, per_batch, shingle_hashes, word_hashes, words_of
+from .common import free_name, ids_and_texts, materialize, mix, per_batch, shingle_hashes, word_hashes, words_of
 from .components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -367,13 +367,16 @@ def keep_one_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rec
     texts = materialize(grouped(docs, n, threshold, recall).filter("root IS NOT NULL").groupBy("root", "digest", *key).agg(F.count("*").alias("n")), "join-texts")
     first = texts.groupBy("root").agg(F.min(F.struct("doc_id", "digest", "text_key")).alias("f")).select("root", "f.doc_id", "f.digest", "f.text_key", F.lit(True).alias("stays"))
     fate = texts.join(first, ["root", "digest", *key], "left")
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": text_key()})
-    asked = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")]
-    out = keyed.join(fate.filter("stays IS NULL OR n > 1").select(*asked), ["__id", "__text"], "left_anti").select(*docs.columns)
+    row_id, row_text = free_name(docs, "__id"), free_name(docs, "__text")
+    keyed = docs.withColumns({row_id: F.col("doc_id").cast("long"), row_text: text_key()})
+    asked = [F.col("doc_id").alias(row_id), F.col("text_key").alias(row_text)]
+    out = keyed.join(fate.filter("stays IS NULL OR n > 1").select(*asked), [row_id, row_text], "left_anti").select(*docs.columns)
     several = materialize(fate.filter("stays AND n > 1").select(*asked), "join-several")
     if several.isEmpty():
         return out
     # written first, so that repeats meet by partial results and not in the task of the join
-    repeats = materialize(keyed.join(several, ["__id", "__text"], "left_semi"), "join-repeats")
-    ones = repeats.groupBy("__id", "__text").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    repeats = materialize(keyed.join(several, [row_id, row_text], "left_semi"), "join-repeats")
+    # maps and variants, also inside other types, have no order: their JSON text has
+    order = [F.to_json(F.struct(c)) if any(x in docs.schema[c].dataType.simpleString() for x in ("map<", "variant")) else F.col(c) for c in docs.columns]
+    ones = repeats.groupBy(row_id, row_text).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("row")).select("row.*")
     return out.unionByName(ones)

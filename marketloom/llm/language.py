@@ -11,13 +11,11 @@ Learning takes a bounded sample: about `per_language` documents of each language
 doc_id; the model keeps at most `contexts` contexts of the highest order.  Scoring takes every byte of
 every text.
 
-Defined results: `und` with score 0 for a null text, one without a letter, or without anything
+Defined results: `und` with score 0 for a null text, one without a letter (numerals such as ½ or Ⅷ are none), or without anything
 learned; null languages are not learned; repeated rows are scored each; extra columns are ignored.
 """
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import ids_and_texts, per_batch
 
 ORDER = 3
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
@@ -169,7 +166,7 @@ def predict(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
         trees = model.value
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t if t and LETTER.search(t) else None for t in b.column(1).to_pylist()]
+            texts = [t if t and any(map(str.isalpha, t)) else None for t in b.column(1).to_pylist()]
             known = [k for k, t in enumerate(texts) if t is not None]
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             if trees is not None and known:

@@ -153,3 +153,9 @@ def test_code_lengths_are_those_of_a_distribution(spark):
     assert np.allclose(table[:, 1:].sum(1) + unseen * table[:, 0], 1, atol=1e-3)
     one, two = trees.code_lengths([b"abab", b"zzzz"])
     assert one[0] < two[0] and np.allclose(trees.code_lengths([b"abab", b"", b"zzzz"])[[0, 2]], [one, two])
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(k, t, "en", "x") for k, t in enumerate(["½ ² ① Ⅷ 12 _", "½ a", "", None, "ª", "hello there"])], "doc_id long, text string, lang string, lang_pred string")
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, language.learn(docs)).collect()}
+    assert got == {0: "und", 1: "en", 2: "und", 3: "und", 4: "en", 5: "en"}
