@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from ..functions.features import Context, FeatureSet, feature
 from ..functions.numeric import clean_double, flag
 from ..functions.series import (
-    BUCKET, Series, carry_forward, floor_time, minutes_between,
+    BUCKET, Series, carry_forward, epoch_micros, floor_div, floor_time, minutes_between, task_count,
 )
 
+#: Slots of a pause that one task fills: a day of minutes.
+PIECE = 1_440
 GRANULARITY = {"M1": 60, "M5": 300, "M15": 900, "H1": 3_600, "D": 86_400}
 
 
@@ -64,13 +66,18 @@ def grid_reindex_ffill(df: DataFrame, series: Series = Series()) -> DataFrame:
     nexts = df.join(following, [*keys, BUCKET]).withColumn(
         "_next", F.coalesce(F.lead(t).over(inside), F.col("_next_bucket"))
     )
-    step = F.make_dt_interval(secs=F.lit(series.step))
-    slots = F.when(
-        F.col("_next").isNotNull(), F.sequence(F.col(t), F.col("_next") - step, step)
-    ).otherwise(F.array(F.col(t)))
-    cells = [c for c in df.columns if c not in (t, BUCKET)]
+    between = floor_div(epoch_micros("_next") - epoch_micros(t), series.step * 1_000_000)
+    counted = nexts.withColumn("_slots", F.greatest(F.coalesce(between, F.lit(1)), F.lit(1)))
+    # A long pause is cut into pieces before any slot exists, and the pieces go to many tasks.
+    pieces = F.sequence(F.lit(0).cast("long"), floor_div(F.col("_slots") - 1, PIECE))
+    whole = counted.filter(F.col("_slots") <= PIECE).withColumn("_piece", F.lit(0).cast("long"))
+    cut = counted.filter(F.col("_slots") > PIECE).withColumn("_piece", F.explode(pieces)).repartition(task_count(df), *keys, t, "_piece")
+    first = F.col("_piece") * PIECE
+    slots = F.explode(F.sequence(first, F.least(F.col("_slots"), first + PIECE) - 1))
+    filled = whole.unionByName(cut).withColumn("minutes_since_last_data", slots)
     return (
-        nexts.select(*cells, F.posexplode(slots).alias("minutes_since_last_data", t))
+        filled.withColumn(t, F.col(t) + F.make_dt_interval(secs=F.col("minutes_since_last_data") * series.step))
+        .withColumn("minutes_since_last_data", F.col("minutes_since_last_data").cast("int"))
         .withColumn("is_backfilled", flag(F.col("minutes_since_last_data") > 0))
         .select(*[c for c in df.columns if c != BUCKET], "minutes_since_last_data", "is_backfilled")
     )

@@ -12,6 +12,7 @@ from ..functions.frames import attach_row, long_form, numeric_columns
 from ..functions.ranks import exact_median
 from ..functions.series import Series, apply_layers
 from ..functions.rolling import Rows
+from ..session import materialize
 from .grid import fill_null_cells
 from .technical import drop_sparse_rows
 
@@ -38,22 +39,35 @@ def select_feature_columns(df: DataFrame, keep: Sequence[str] = (), exclude: Seq
     return df.select(*keep, *feature_names(df, exclude))
 
 
+#: Spark numbers the rows of a partition from the partition's number times two to this power.
+PARTITION_BITS = 33
+
+
+def ranked_values(values: DataFrame, column: str, name: str) -> DataFrame:
+    """Different values with their rank from 0, numbered by all tasks at once."""
+    ordered = values.select(column).repartitionByRange(column).sortWithinPartitions(column)
+    # written, so that numbers and sizes are of the same partitions
+    placed = materialize(ordered.withColumn("_id", F.monotonically_increasing_id()), "ranked-values")
+    part = F.shiftright("_id", PARTITION_BITS)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_id") - F.shiftleft("_part", PARTITION_BITS)
+    return placed.withColumn("_part", part).join(offsets, "_part").select(column, (F.col("_before") + inside).alias(name))
+
+
 def categorical_codes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Replace strings and booleans by their rank among the sorted values; null is -1.
 
-    Ranks are counted per two-letter prefix and shifted by the prefix totals, so even a
-    large dictionary is not numbered by one task.
+    The different values are range partitioned by samples of themselves, numbered inside each
+    partition, and shifted by the sizes of the partitions before: a large dictionary is spread
+    evenly over the tasks however long the prefixes are that its values share.
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
     for c in columns:
         values = df.select(F.col(c).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-        values = values.withColumn("_p", F.substring(F.col("_v").cast("string"), 1, 2))
-        sizes = values.groupBy("_p").count()
-        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
-        inside = Window.partitionBy("_p").orderBy(F.col("_v").cast("string"))
-        codes = values.join(offsets, "_p").select("_v", (F.row_number().over(inside) - 1 + F.col("_o")).alias("_code"))
+        codes = ranked_values(values, "_v", "_code")
         df = (
             df.join(codes, df[c] == codes["_v"], "left")
             .withColumn(c, F.coalesce("_code", F.lit(-1)).cast("int"))

@@ -65,7 +65,7 @@ def _article_files(s, d) -> str:
     return path
 
 
-@query("read_articles_json")
+@query("read_articles_json", sql("SELECT article_id::VARCHAR AS article_id, headline, source, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS published_at FROM articles", "articles"))
 def _read_articles(s, d):
     return ar.read_articles_json(s, _article_files(s, d), one_per_file=False).select("article_id", "headline", "source", "published_at")
 
@@ -89,11 +89,12 @@ def _read_auto(s, d):
     return out[0].unionByName(out[1])
 
 
-@query("write_table_auto")
+@query("write_table_auto", sql(f"SELECT {SIGNAL_SQL} FROM signals_60m", "signals_60m"))
 def _write_auto(s, d):
     path = scratch_path(s, "signals") + ".csv"
-    tb.write_table_auto(signals(s, d), path)
-    return tb.read_table_auto(s, path)
+    rows = signals(s, d)
+    tb.write_table_auto(rows, path)
+    return tb.read_table_auto(s, path, rows.schema)
 
 
 @query("write_gold_dual", sql(f"SELECT {OHLC_SQL}, time AS event_timestamp, time::DATE AS date FROM bars_1h", "bars_1h"))
@@ -103,7 +104,9 @@ def _gold_dual(s, d):
     return s.read.parquet(base + ".parquet").withColumn("instrument", F.col("instrument").cast("string"))
 
 
-@query("append_prediction_log")
+@query("append_prediction_log", sql(
+    "SELECT date_trunc('millisecond', timestamp) AS timestamp, instrument, prediction, R6(confidence) AS confidence, R6(predicted_price) AS predicted_price "
+    "FROM pred_log WHERE prediction IN ('bullish', 'bearish')", "pred_log"))
 def _append_log(s, d):
     path = scratch_path(s, "log")
     rows = prediction_rows(s, d)

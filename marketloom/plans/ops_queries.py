@@ -293,7 +293,9 @@ query("stream_session_gaps", sql(
     lambda s, d: st.drain(sj.stream_session_gaps(tick_stream(s, d)), "sessions"))
 
 
-@query("stream_new_file_trigger")
+@query("stream_new_file_trigger", sql(
+    "SELECT s.article_id, split_part(d.text, chr(10), 1) AS headline, s.source, s.published_at, s.sentiment, R6(s.sentiment_score) AS sentiment_score, R6(s.confidence) AS confidence, "
+    "R6(s.positive_prob) AS positive_prob, R6(s.negative_prob) AS negative_prob, R6(s.neutral_prob) AS neutral_prob FROM scored s JOIN documents d ON d.doc_id = s.article_id", "scored"))
 def _trigger(s, d):
     path = scratch_path(s, "scored")
     sj.stream_new_file_trigger(article_stream(s, d), score, path)

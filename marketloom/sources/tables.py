@@ -19,12 +19,16 @@ def _format(path: str) -> str:
     raise ValueError(f"unsupported extension: {path}")
 
 
-def read_table_auto(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read Parquet or CSV by extension; CSV wants an explicit schema to avoid a second pass."""
+def read_table_auto(spark: SparkSession, path: str, schema: T.StructType | str | None = None, line_breaks: bool = True) -> DataFrame:
+    """Read Parquet or CSV by extension; CSV wants an explicit schema to avoid a second pass.
+
+    Quoted CSV cells may hold line breaks, so a CSV file is one task; ``line_breaks=False`` (for tables of
+    numbers and plain names) lets Spark split the files.
+    """
     kind = _format(path)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "csv":
-        return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return reader.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
     return reader.parquet(path)
 
 
@@ -48,8 +52,10 @@ def write_gold_dual(
     if "date" in partition_by and "date" not in df.columns:
         out = out.withColumn("date", F.to_date(time))
     out.repartition(*partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(f"{base}.parquet")
-    write_table_auto(df, f"{base}.csv")
-    return stamped
+    # the CSV is made from the Parquet just written, so that the rows are computed once
+    written = df.sparkSession.read.schema(out.schema).parquet(f"{base}.parquet")
+    write_table_auto(written.select(*df.columns), f"{base}.csv")
+    return written.select(*stamped.columns)
 
 
 def resume_from_watermark(incoming: DataFrame, stored: DataFrame, keys: Sequence[str] = ("instrument",),

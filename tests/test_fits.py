@@ -153,3 +153,33 @@ def test_two_stages(trees):
     assert set(first[first.chosen == 1].params) == {means.idxmin()} and set(second.params) == {means.idxmin()}
     groups = second.groupby("feature_group").score.mean()
     assert set(second[second.chosen == 1].feature_group) == {groups.idxmin()} and set(second[second.feature_group == "top"].n_features) == {1}
+
+
+def test_a_long_pause_is_filled_in_pieces(spark, monkeypatch):
+    from marketloom.operators import grid
+
+    start = pd.Timestamp("2024-01-01 00:00:07")
+    times = [start + pd.Timedelta(minutes=m) for m in (0, 1, 5, 4_000, 4_001, 9_500)]
+    pdf = pd.DataFrame({"instrument": "a", "time": times, "close": [1.0, 2.0, None, 4.0, 5.0, 6.0]})
+    df = spark.createDataFrame(pdf).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    want = pdf.set_index("time").reindex(pd.date_range(times[0], times[-1], freq="min"))
+    since = want.instrument.notna().cumsum()
+    for piece in (1_440, 7):
+        monkeypatch.setattr(grid, "PIECE", piece)
+        got = grid.grid_reindex_ffill(df, Series(step=60)).toPandas().sort_values("time")
+        assert list(got.time) == list(want.index) and list(got.minutes_since_last_data) == list(want.groupby(since).cumcount())
+        assert got.is_backfilled.sum() == 9_501 - 6 and list(got.close.dropna().unique()) == [1.0, 2.0, 4.0, 5.0, 6.0]
+    filled = grid.grid_reindex_ffill(df, Series(step=60))
+    parts = filled.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 9_000
+
+
+def test_dictionary_with_long_shared_prefixes(spark):
+    values = ["the-same-twenty-letter" + f"{k * 7919 % 5000:06d}" for k in range(5_000)]
+    rows = [(v, k % 2 == 0) for k, v in enumerate(values + values[:50])] + [(None, None), ("", True), ("ä", False)]
+    df = spark.createDataFrame(rows, "name string, flag boolean").repartition(4)
+    rank = {v: i for i, v in enumerate(sorted({r[0] for r in rows if r[0] is not None}, key=lambda x: x.encode()))}
+    got = pr.categorical_codes(df.withColumn("was", F.col("name")).withColumn("is", F.col("flag")), ["name", "flag"]).collect()
+    assert len(got) == len(rows) and all(r["name"] == (-1 if r["was"] is None else rank[r["was"]]) and r["flag"] == (-1 if r["is"] is None else int(r["is"])) for r in got)
+    spread = df.select("name").distinct().repartitionByRange("name").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in spread) <= 2 * 5_002 / max(len(spread), 1) or len(spread) == 1
