@@ -40,48 +40,56 @@ def recent_bands(log: DataFrame, window: int, newest: int = 100, time: str = "ti
     return tail.withColumn("band", F.ceil(rank / F.lit(window)).cast("int")).filter(F.col("band") <= 2)
 
 
-def _alert(
-    bands: DataFrame, measure: Column, kind: str, threshold: float, high: float, window: int, as_of: Column, text: str,
-    fall: bool = False,
-) -> DataFrame:
-    """One alert row when the bands' means differ by more than the threshold, else none."""
-    means = bands.agg(
-        F.avg(F.when(F.col("band") == 2, measure)).alias("baseline"),
-        F.avg(F.when(F.col("band") == 1, measure)).alias("recent"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    change = F.col("baseline") - F.col("recent")
-    change = change if fall else F.abs(change)
+@dataclass(frozen=True)
+class Check:
+    """What one kind of alert compares: a measure's mean in the newest band with that in the band before."""
+
+    kind: str
+    measure: Column
+    threshold: float
+    high: float
+    text: str
+    fall: bool = False
+
+
+def checks(config: DriftConfig) -> tuple[Check, Check, Check]:
+    bullish = F.coalesce((F.col("prediction") == "bullish").cast("double"), F.lit(0.0))
     return (
-        means.withColumn("drift_value", change)
-        .filter((F.col("_n") >= 2 * window) & (F.col("drift_value") > threshold))
-        .select(
-            F.lit(kind).alias("type"),
-            F.when(F.col("drift_value") > threshold * high, "high").otherwise("medium").alias("severity"),
-            "drift_value", "baseline", "recent", F.lit(threshold).alias("threshold"),
-            F.format_string(text + ": %.3f (baseline: %.3f, recent: %.3f)", "drift_value", "baseline", "recent").alias("message"),
-            as_of.alias("timestamp"),
-        )
+        Check("sentiment_drift", F.coalesce("avg_sentiment", F.lit(0.0)), config.sentiment, 2.0, "Sentiment drift detected"),
+        Check("prediction_drift", bullish, config.prediction, 1.5, "Prediction distribution drift detected"),
+        Check("confidence_drop", F.coalesce("confidence", F.lit(0.0)), config.confidence, 1.5, "Model confidence drop detected", True),
     )
 
 
-def sentiment_drift(log: DataFrame, as_of: Column, config: DriftConfig = DEFAULTS) -> DataFrame:
+def _alerts(log: DataFrame, as_of: Column, config: DriftConfig, wanted: Sequence[Check]) -> DataFrame:
+    """One alert row per check whose bands' means differ by more than its threshold; the log is ranked once."""
     bands = recent_bands(log, config.window, config.newest)
-    return _alert(bands, F.coalesce("avg_sentiment", F.lit(0.0)), "sentiment_drift", config.sentiment, 2.0,
-                  config.window, as_of, "Sentiment drift detected")
+    means = bands.agg(
+        *[F.avg(F.when(F.col("band") == band, c.measure)).alias(f"_{side}{k}") for k, c in enumerate(wanted) for side, band in (("b", 2), ("r", 1))],
+        F.count(F.lit(1)).alias("_n"))
+    rows = []
+    for k, c in enumerate(wanted):
+        change = F.col(f"_b{k}") - F.col(f"_r{k}")
+        rows.append(F.struct(
+            F.lit(c.kind).alias("type"), (change if c.fall else F.abs(change)).alias("drift_value"), F.col(f"_b{k}").alias("baseline"), F.col(f"_r{k}").alias("recent"),
+            F.lit(float(c.threshold)).alias("threshold"), F.lit(c.threshold * c.high).alias("_severe"), F.lit(c.text).alias("_text")))
+    told = means.filter(F.col("_n") >= 2 * config.window).select(F.explode(F.array(*rows)).alias("a")).select("a.*").filter(F.col("drift_value") > F.col("threshold"))
+    numbers = F.format_string("%s: %.3f (baseline: %.3f, recent: %.3f)", "_text", "drift_value", "baseline", "recent")
+    return told.select(
+        "type", F.when(F.col("drift_value") > F.col("_severe"), "high").otherwise("medium").alias("severity"),
+        "drift_value", "baseline", "recent", "threshold", numbers.alias("message"), as_of.alias("timestamp"))
+
+
+def sentiment_drift(log: DataFrame, as_of: Column, config: DriftConfig = DEFAULTS) -> DataFrame:
+    return _alerts(log, as_of, config, checks(config)[:1])
 
 
 def prediction_drift(log: DataFrame, as_of: Column, config: DriftConfig = DEFAULTS) -> DataFrame:
-    bands = recent_bands(log, config.window, config.newest)
-    bullish = F.coalesce((F.col("prediction") == "bullish").cast("double"), F.lit(0.0))
-    return _alert(bands, bullish, "prediction_drift", config.prediction, 1.5, config.window, as_of,
-                  "Prediction distribution drift detected")
+    return _alerts(log, as_of, config, checks(config)[1:2])
 
 
 def confidence_drop(log: DataFrame, as_of: Column, config: DriftConfig = DEFAULTS) -> DataFrame:
-    bands = recent_bands(log, config.window, config.newest)
-    return _alert(bands, F.coalesce("confidence", F.lit(0.0)), "confidence_drop", config.confidence, 1.5, config.window,
-                  as_of, "Model confidence drop detected", fall=True)
+    return _alerts(log, as_of, config, checks(config)[2:])
 
 
 def alert_cooldown(alerts: DataFrame, alert_log: DataFrame, as_of: Column, minutes: int = 15) -> DataFrame:
@@ -91,8 +99,7 @@ def alert_cooldown(alerts: DataFrame, alert_log: DataFrame, as_of: Column, minut
 
 
 def all_drifts(log: DataFrame, alert_log: DataFrame, as_of: Column, config: DriftConfig = DEFAULTS) -> DataFrame:
-    checks = [f(log, as_of, config) for f in (sentiment_drift, prediction_drift, confidence_drop)]
-    return alert_cooldown(checks[0].unionByName(checks[1]).unionByName(checks[2]), alert_log, as_of, config.cooldown_minutes)
+    return alert_cooldown(_alerts(log, as_of, config, checks(config)), alert_log, as_of, config.cooldown_minutes)
 
 
 def ks_pvalue(d: Column, n: Column, m: Column, terms: int = 30) -> Column:
