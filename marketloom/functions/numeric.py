@@ -30,6 +30,17 @@ def clean_double(x) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None)).otherwise(x)
 
 
+def correlation(a, b) -> Column:
+    """Pearson correlation over the rows that hold both (an aggregate); NULL where one has no spread.
+
+    NaN and infinities are missing.  ``F.corr`` divides by zero there, which ANSI mode raises.
+    """
+    x, y = clean_double(a), clean_double(b)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def r6(x) -> Column:
     """Six places; halves and values a hair below go up, so that summation order cannot matter."""
     return F.floor(col(x).cast("double") * 1e6 + 0.5001) / F.lit(1e6)

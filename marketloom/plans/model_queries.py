@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.frames import numeric_columns
+from ..functions.numeric import correlation
 from ..functions.series import Series
 from ..operators import boosting as bo
 from ..operators import evaluation as ev
@@ -181,7 +182,7 @@ def _two_stages(s, d):
 def _corr(s, d):
     data = materialize(training(s, d).withColumn("sma_copy", F.col("sma_7") * 2 + 1), "correlated")
     names = [*feature_names(data)]
-    row = data.agg(*[F.abs(F.corr(c, "target")).alias(c) for c in names])
+    row = data.agg(*[F.abs(correlation(c, "target")).alias(c) for c in names])
     table_ = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in names])).alias("r")).select("r.*")
     return bo.corr_feature_filter(data, table_, 0.0)
 
