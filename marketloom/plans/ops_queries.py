@@ -252,12 +252,12 @@ query("history_cap", sql("SELECT event_id, timestamp, prediction FROM pred_log O
 
 
 def tick_stream(s, d):
-    raw = st.read_stream(s, d, table(s, d, "events").schema, "events.parquet")
+    raw = st.table_stream(s, f"{d}/events.parquet", table(s, d, "events").schema)
     return raw.select(F.col("event_type").alias("instrument"), F.col("ts").alias("time"), F.col("value").alias("price"), "event_id")
 
 
 def article_stream(s, d):
-    raw = st.read_stream(s, d, table(s, d, "documents").schema, "documents.parquet")
+    raw = st.table_stream(s, f"{d}/documents.parquet", table(s, d, "documents").schema)
     minute = F.make_dt_interval(mins=((F.col("doc_id") * 43) % 43_200).cast("int"))
     return raw.select(
         F.col("doc_id").alias("article_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline"),

@@ -19,6 +19,14 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     return (reader if files is None else reader.option("maxFilesPerTrigger", files)).load(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of files.
+
+    The file source takes folders or glob patterns, so the path is given as a pattern that only it matches.
+    """
+    return spark.readStream.schema(schema).format("parquet").load(f"{path[:-1]}[{path[-1]}]")
+
+
 def drain(stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None, keyed: bool = False) -> DataFrame:
     """Append everything available to a Parquet table and read it back; ``keyed`` streams hold state per key.
 

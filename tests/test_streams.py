@@ -81,6 +81,19 @@ def test_newest_match(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_tables_of_one_file_or_many_are_streams(spark, tmp_path):
+    rows = spark.range(20).withColumn("text", F.lit("x"))
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    one = next((tmp_path / "documents.parquet").glob("part-*.parquet"))
+    few = spark.read.parquet(str(one)).count()
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "documents.parquet").write_bytes(one.read_bytes())
+    (tmp_path / "t" / "labels.parquet").write_bytes(one.read_bytes())
+    for folder, n in ((tmp_path, 20), (tmp_path / "t", few)):
+        stream = st.table_stream(spark, f"{folder}/documents.parquet", rows.schema)
+        assert st.drain(stream, "table", str(folder / "out"), str(folder / "state")).count() == n
+
+
 def test_latest_rows_keep_two_versions_and_break_ties(spark, tmp_path):
     at = [START + dt.timedelta(hours=h) for h in range(6)]
     first = [("a", at[1], 5.0), ("b", at[1], 1.0), ("c", at[5], 1.0)]
