@@ -272,15 +272,21 @@ def root(x: str) -> str:
     return f"CASE WHEN {x} >= 0 THEN sqrt({x}) * {A} END"
 
 
+def log_ratio(a: str, b: str) -> str:
+    """ln(a / b); a zero denominator or a ratio that is not positive gives NULL, as the operators say."""
+    return f"CASE WHEN {a} / nullif({b}, 0) > 0 THEN ln({a} / {b}) END"
+
+
+HL, CO = log_ratio("high", "low"), log_ratio("close", "open")
 simple("hist_vol", vo.hist_vol, ["hist_vol_20", "hist_vol_50"],
        named({f"hist_vol_{n}": f"({roll('stddev_samp', 'ret', n)}) * {A}" for n in (20, 50)}), ctes=RET, source="r")
 simple("garman_klass", vo.garman_klass, ["gk_vol"], f"{root('m')} AS gk_vol", source="y", ctes=(
-    "x AS (SELECT *, 0.5 * ln(high / low) ** 2 - (2 * ln(2) - 1) * ln(close / open) ** 2 AS t FROM grid_1h), "
+    f"x AS (SELECT *, 0.5 * ({HL}) ** 2 - (2 * ln(2) - 1) * ({CO}) ** 2 AS t FROM grid_1h), "
     f"y AS (SELECT *, {roll('avg', 't', 20)} AS m FROM x), "))
 simple("parkinson", vo.parkinson, ["parkinson_vol"], f"{root('m')} AS parkinson_vol", source="y", ctes=(
-    f"y AS (SELECT *, ({roll('avg', '(ln(high / low) ** 2)', 20)}) / (4 * ln(2)) AS m FROM grid_1h), "))
-RS = "x AS (SELECT *, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS t, " \
-     f"ln(open / {lag('close')}) AS o, ln(close / open) AS c FROM grid_1h), "
+    f"y AS (SELECT *, ({roll('avg', f'(({HL}) ** 2)', 20)}) / (4 * ln(2)) AS m FROM grid_1h), "))
+RS = f"x AS (SELECT *, ({log_ratio('high', 'close')}) * ({log_ratio('high', 'open')}) + ({log_ratio('low', 'close')}) * ({log_ratio('low', 'open')}) AS t, " \
+     f"{log_ratio('open', lag('close'))} AS o, {CO} AS c FROM grid_1h), "
 simple("rogers_satchell", vo.rogers_satchell, ["rs_vol"], f"{root('m')} AS rs_vol", source="y",
        ctes=RS + f"y AS (SELECT *, {roll('avg', 't', 20)} AS m FROM x), ")
 K = 0.34 / (1.34 + 21 / 19)

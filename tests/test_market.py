@@ -1,4 +1,7 @@
 """Market operators against pandas, block layout against one block, edge rows."""
+import datetime as dt
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -275,3 +278,23 @@ def test_no_row_and_no_key_is_lost(spark):
     fits = {r.key: r for r in fo.ols_fit(spark.createDataFrame(pdf), ["x", "z"], "target", ("key",)).collect()}
     assert fits["b"].coef is None and fits["b"].n_obs == 2
     np.testing.assert_allclose(fits["a"].coef, [0, 2, -1], atol=1e-9)
+
+
+def test_volatility_of_zero_prices_is_null_in_query_and_sql(spark, tmp_path):
+    """ln(x / 0) is neither infinity nor NaN: windows that hold a zero price have no volatility."""
+    import duckdb
+
+    from marketloom.plans.registry import ORACLES, QUERIES
+
+    rnd = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, start + dt.timedelta(minutes=20 * k), "a", 0.0 if k in (100, 130, 131, 132) else 50 + rnd.random()) for k in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("garman_klass", "parkinson", "rogers_satchell", "yang_zhang"):
+        got = QUERIES[name](spark, str(tmp_path))
+        value = next(c for c in got.columns if c.endswith("_vol"))
+        want = con.execute(f"SELECT instrument, time, {value} FROM ({ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got.select("instrument", "time", value).collect())) == sorted(want)
+        assert sum(r[2] is None for r in want) > 40
