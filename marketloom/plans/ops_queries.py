@@ -8,7 +8,7 @@ from ..operators import quality as dq
 from ..operators import runs as ru
 from ..operators.asof import NEWS_VALUES
 from ..operators.sentiment import lexicon_sentiment, sentiment_from_probs
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming import core as st
 from ..streaming import jobs as sj
 from .catalog import cte, query, rnd, sql, table
@@ -328,15 +328,30 @@ def _interval_join(s, d):
     return st.drain(out, "pairs")
 
 
-def in_files(s, df, time, name, n=4):
-    """The rows as files in order of time, written one after the other: a file stream takes them as micro-batches."""
-    path = scratch_path(s, name)
+SLICES = 4
+
+
+def time_slices(df, time, n=SLICES):
+    """The rows in n parts of equal spans of time, in order."""
     at = F.unix_micros(F.col(time).cast("timestamp"))
     lo, hi = df.agg(F.min(at), F.max(at)).first()
+    if lo is None:
+        return [df.limit(0)] * n
     slice_no = F.least(F.floor((at - F.lit(lo)) * n / F.lit(max(hi - lo, 1))), F.lit(n - 1))
-    for k in range(n):
-        df.filter(slice_no == k).write.mode("append").parquet(path)
-    return path
+    return [df.filter(slice_no == k) for k in range(n)]
+
+
+def arrive(sources, run):
+    """Write the k-th slice of every source (folder to slices) and run the stream over what is there.
+
+    A slice is one micro-batch, however many files its tasks write: rows of one span of time must not be
+    taken apart, or the watermark of the first files passes the rows of the others.
+    """
+    for parts in zip(*sources.values()):
+        for folder, part in zip(sources, parts):
+            part.write.mode("append").parquet(folder)
+        out = run()
+    return out
 
 
 _kinds = " UNION ALL ".join(
@@ -356,11 +371,12 @@ _means = ", ".join(f"avg(m{m}) OVER ({_w} ROWS BETWEEN {a} PRECEDING AND {b}) AS
 def _alerts(s, d):
     """Four micro-batches of the log; state per instrument, ten hours of cooldown."""
     events = table(s, d, "events")
-    raw = st.read_stream(s, in_files(s, events, "ts", "log-files"), events.schema, files=1)
+    folder, path, state = (scratch_path(s, n) for n in ("log-files", "alerts", "alerts-state"))
+    raw = st.table_stream(s, folder, events.schema)
     log = raw.select("event_id", F.col("event_type").alias("instrument"), F.col("ts").alias("timestamp"), F.when(F.col("value") > 50, "bullish").otherwise("bearish").alias("prediction"),
                      F.least(F.col("value") / 200, F.lit(1.0)).alias("confidence"), (((F.col("event_id") % 21) - 10) / 10.0).alias("avg_sentiment"))
     found = sj.stream_drift_alerts(log, dr.DriftConfig(0.152, 0.22, 0.1, 20, 600))
-    return st.drain(found, "alerts", keyed=True).drop("message")
+    return arrive({folder: time_slices(events, "ts")}, lambda: st.drain(found, "alerts", path, state, keyed=True)).drop("message")
 
 
 @query("stream_asof_newest", sql(
@@ -371,15 +387,17 @@ def _alerts(s, d):
 def _asof_newest(s, d):
     """Both sides as streams in several micro-batches."""
     bars = ticks(s, d).select("instrument", "time", "event_id")
-    sig = actionable(s, d).select("signal_time", "trading_signal", "avg_sentiment")
-    left = st.read_stream(s, in_files(s, bars, "time", "bar-files"), bars.schema, files=1)
-    right = st.read_stream(s, in_files(s, sig, "signal_time", "signal-files", 3), sig.schema, files=1)
-    return st.drain(sj.stream_asof_newest(left, right), "newest", keyed=True)
+    sig = materialize(actionable(s, d).select("signal_time", "trading_signal", "avg_sentiment"), "signals")
+    bar_files, signal_files, path, state = (scratch_path(s, n) for n in ("bar-files", "signal-files", "newest", "newest-state"))
+    left, right = st.table_stream(s, bar_files, bars.schema), st.table_stream(s, signal_files, sig.schema)
+    found = sj.stream_asof_newest(left, right, quiet=sig.isEmpty())
+    return arrive({bar_files: time_slices(bars, "time"), signal_files: time_slices(sig, "signal_time")}, lambda: st.drain(found, "newest", path, state, keyed=True))
 
 
 @query("stream_latest_features", sql(
     "SELECT instrument, time AS event_timestamp, R6(price) AS price FROM ticks QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY time DESC, price DESC) = 1", "ticks"))
 def _latest(s, d):
     rows = ticks(s, d).select("instrument", F.col("time").alias("event_timestamp"), "price")
-    stream = st.read_stream(s, in_files(s, rows, "event_timestamp", "feature-files"), rows.schema, files=1)
-    return sj.stream_latest_features(stream, scratch_path(s, "latest"))
+    folder, path, state = (scratch_path(s, n) for n in ("feature-files", "latest", "latest-state"))
+    stream = st.table_stream(s, folder, rows.schema)
+    return arrive({folder: time_slices(rows, "event_timestamp")}, lambda: sj.stream_latest_features(stream, path, checkpoint=state))

@@ -20,7 +20,7 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
 
 
 def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table as a stream, whether it is one file or a folder of files.
+    """A table as a stream, whether it is one file, a folder of files or not yet there.
 
     The file source takes folders or glob patterns, so the path is given as a pattern that only it matches.
     """

@@ -117,7 +117,7 @@ def stream_interval_join(
 
 def stream_asof_newest(
     bars: DataFrame, signals: DataFrame, tolerance_seconds: int = 7_200, delay: str = DELAY, time: str = "time",
-    right_time: str = "signal_time", shares: int = 8, prefix: str = "news_",
+    right_time: str = "signal_time", shares: int = 8, prefix: str = "news_", quiet: bool = False,
 ) -> DataFrame:
     """Both sides as streams: every bar once, with the newest signal within the tolerance before it.
 
@@ -125,6 +125,8 @@ def stream_asof_newest(
     a slot are dealt over ``shares`` by a hash of the row, each of which gets the slot's few signals, so that
     a busy slot is no single task.  A bar comes out once both watermarks have passed it; of signals with one
     time the largest (columns in order, as JSON) counts.  Bars without a time have no match and are dropped.
+    A stream without rows has no watermark and holds all bars back: where it is known that there are no signals
+    (``quiet``), bars come out by their own watermark, without a match.
     """
     width = tolerance_seconds * 1_000_000
     values = [c for c in signals.columns if c != right_time]
@@ -137,7 +139,8 @@ def stream_asof_newest(
     marks = right.select(F.explode(F.array(own, own + 1)).alias("slot"), right_time, *values)
     marks = marks.select("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), F.col(right_time).alias("seen"),
                          F.unix_micros(right_time).alias("at"), F.lit(0).cast("long").alias("side"), F.to_json(F.struct(*values), EXACT).alias("payload"))
-    found = asks.unionByName(marks).groupBy("slot", "share").transformWithStateInPandas(
+    both = asks if quiet else asks.unionByName(marks)
+    found = both.filter(F.col("at").isNotNull()).groupBy("slot", "share").transformWithStateInPandas(
         NewestMatch(width, width, ["bar", "signal_at", "signal"]), "bar STRING, signal_at LONG, signal STRING", "Append", "EventTime")
     bar_schema, signal_schema = bars.schema, T.StructType([signals.schema[c] for c in values])
     told = found.select(F.from_json("bar", bar_schema, EXACT).alias("b"), "signal_at", F.from_json("signal", signal_schema, EXACT).alias("s"))
@@ -155,16 +158,17 @@ def stream_drift_alerts(
     """
     filled = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     rows = event_time(log, time, delay).select(
-        *keys, F.col(time).alias("seen"), F.unix_micros(time).alias("at"), F.col(tie).cast("long").alias("tie"), filled(F.col("avg_sentiment")).alias("sentiment"),
+        *keys, F.col(time).alias("seen"), F.unix_micros(time).alias("at"), F.coalesce(F.col(tie).cast("long"), F.lit(DriftWatch.NO_TIE)).alias("tie"), filled(F.col("avg_sentiment")).alias("sentiment"),
         filled(F.col("prediction") == "bullish").alias("bullish"), filled(F.col("confidence")).alias("confidence"))
     schema = ", ".join([*[f"{k} {log.schema[k].dataType.simpleString()}" for k in keys], ALERT.replace("TIMESTAMP_NTZ", "TIMESTAMP"), f"{tie} LONG"])
     columns = [x.split()[0] for x in schema.split(", ")]
-    found = rows.groupBy(*keys).transformWithStateInPandas(DriftWatch(config, columns), schema, "Append", "EventTime")
+    found = rows.filter(F.col("at").isNotNull()).groupBy(*keys).transformWithStateInPandas(DriftWatch(config, columns), schema, "Append", "EventTime")
     return found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 def stream_latest_features(
-    features: DataFrame, path: str, keys: Sequence[str] = ("instrument",), time: str = "event_timestamp", parts: int = 64
+    features: DataFrame, path: str, keys: Sequence[str] = ("instrument",), time: str = "event_timestamp", parts: int = 64,
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """Newest row per key, upserted per micro-batch into the parts it touches.  Returns the table.
 
@@ -173,5 +177,5 @@ def stream_latest_features(
     spark: SparkSession = features.sparkSession
     table = LatestTable(spark, path or scratch_path(spark, "latest"), features.schema, keys, parts)
     order = F.struct(time, *orderable(features, sorted(c for c in features.columns if c not in keys)))
-    drain_batches(features, "latest", lambda batch, batch_id: table.upsert(batch, order, batch_id))
+    drain_batches(features, "latest", lambda batch, batch_id: table.upsert(batch, order, batch_id), checkpoint)
     return table.read()

@@ -11,6 +11,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,16 +31,29 @@ def rocksdb(spark: SparkSession):
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
+def pack(rows: pa.Table, size: int = 100_000) -> list[tuple[bytes]]:
+    """Rows as blocks of Arrow bytes."""
+    blocks = []
+    for batch in rows.combine_chunks().to_batches(max_chunksize=size):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_batch(batch)
+        blocks.append((sink.getvalue().to_pybytes(),))
+    return blocks
+
+
 class InEventOrder(StatefulProcessor):
-    """Holds rows (``row_schema`` begins with the time ``at`` LONG) until the watermark passes them."""
+    """Holds rows (``fields`` begin with the time ``at``, never null) until the watermark passes them.
 
-    def __init__(self, row_schema: str):
-        self.row_schema = row_schema
-        self.names = [x.split()[0] for x in row_schema.split(",")]
+    Rows wait as blocks of columns, so that state is read, ordered and written by the block, not by the row.
+    """
+
+    def __init__(self, fields: list[tuple[str, pa.DataType]]):
+        self.row_schema = pa.schema(fields)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.waiting = handle.getListState("waiting", "block BINARY")
 
     def wake(self, micros: int) -> None:
         """Ask for a timer once the watermark is past a time."""
@@ -47,9 +62,9 @@ class InEventOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for part in rows:
-            part = part[part["at"].notna()][self.names]
             if len(part):
-                self.waiting.appendList([tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in part.itertuples(index=False)])
+                for block in pack(pa.Table.from_pandas(part[self.row_schema.names], self.row_schema, preserve_index=False)):
+                    self.waiting.appendValue(block)
                 first = int(part["at"].min()) if first is None else min(first, int(part["at"].min()))
         if first is not None:
             self.wake(first)
@@ -57,19 +72,21 @@ class InEventOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1_000
-        rows = sorted((r for r in self.waiting.get()), key=lambda r: tuple((v is not None, v) if v is not None else (False, 0) for v in r))
-        ripe = [r for r in rows if r[0] <= passed]
-        rest = rows[len(ripe):]
-        if ripe:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if rest:
+        held = [pa.ipc.open_stream(block).read_all() for (block,) in self.waiting.get()]
+        rows = pa.concat_tables(held) if held else self.row_schema.empty_table()
+        now = pc.less_equal(rows["at"], passed)
+        ripe, rest = rows.filter(now), rows.filter(pc.invert(now))
+        if len(ripe):
+            self.waiting.put(pack(rest)) if len(rest) else self.waiting.clear()
+        if len(rest):
             # a timer that fired too early for its row is asked for again
-            self.wake(max(rest[0][0], passed + 1_000))
-        out = self.take(key, ripe, passed)
+            self.wake(max(pc.min(rest["at"]).as_py(), passed + 1_000))
+        ordered = ripe.to_pandas().sort_values(self.row_schema.names, na_position="first", kind="stable", ignore_index=True)
+        out = self.take(key, ordered, passed)
         if out is not None and len(out):
             yield out
 
-    def take(self, key, rows: list[tuple], passed: int) -> pd.DataFrame | None:
+    def take(self, key, rows: pd.DataFrame, passed: int) -> pd.DataFrame | None:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -85,25 +102,27 @@ class DriftWatch(InEventOrder):
 
     KINDS = (("sentiment_drift", 2.0, False, "Sentiment drift detected"), ("prediction_drift", 1.5, False, "Prediction distribution drift detected"),
              ("confidence_drop", 1.5, True, "Model confidence drop detected"))
-    MEASURES = "sentiment DOUBLE, bullish DOUBLE, confidence DOUBLE"
+    MEASURES = ("sentiment", "bullish", "confidence")
+    NO_TIE = -(2**63)  # stands for a null, which sorts first
 
     def __init__(self, config, columns: list[str]):
-        super().__init__("at LONG, tie LONG, " + self.MEASURES)
+        super().__init__([("at", pa.int64()), ("tie", pa.int64()), *[(m, pa.float64()) for m in self.MEASURES]])
         self.config, self.columns = config, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.tail = handle.getListState("tail", self.MEASURES)
+        self.tail = handle.getListState("tail", ", ".join(f"{m} DOUBLE" for m in self.MEASURES))
         self.alerted = handle.getMapState("alerted", "kind STRING", "at LONG")
 
-    def take(self, key, rows: list[tuple], passed: int) -> pd.DataFrame | None:
-        if not rows:
+    def take(self, key, rows: pd.DataFrame, passed: int) -> pd.DataFrame | None:
+        if rows.empty:
             return None
         n, c = self.config.window, self.config
-        before = [tuple(r) for r in self.tail.get()]
-        values = np.array(before + [r[2:] for r in rows], float)
-        keep = [tuple(map(float, v)) for v in values[-(2 * n - 1):]] if n > 1 or len(values) else []
-        self.tail.put(keep)
+        pause = c.cooldown_minutes * 60_000_000
+        before = np.array([tuple(r) for r in self.tail.get()], float).reshape(-1, len(self.MEASURES))
+        values = np.concatenate([before, rows[list(self.MEASURES)].to_numpy(float)])
+        self.tail.put([tuple(map(float, v)) for v in values[-(2 * n - 1):]])
+        at, tie = rows["at"].to_numpy(), rows["tie"].to_numpy()
         found = []
         if len(values) >= 2 * n:
             windows = np.lib.stride_tricks.sliding_window_view(values, 2 * n, axis=0)  # place, measure, row
@@ -113,14 +132,21 @@ class DriftWatch(InEventOrder):
                 change = baseline[:, m] - recent[:, m] if fall else abs(baseline[:, m] - recent[:, m])
                 held = self.alerted.getValue((kind,)) if self.alerted.containsKey((kind,)) else None
                 last = None if held is None else held[0]
-                for k in np.flatnonzero(change > threshold).tolist():
-                    at, tie = rows[k + first][:2]
-                    if last is None or at - last >= c.cooldown_minutes * 60_000_000:
-                        last, d, b, r = at, change[k], baseline[k, m], recent[k, m]
-                        found.append((*key, kind, "high" if d > threshold * high else "medium", d, b, r, threshold, f"{text}: {d:.3f} (baseline: {b:.3f}, recent: {r:.3f})", pd.Timestamp(at, unit="us"), tie))
+                hits = np.flatnonzero(change > threshold)
+                times = at[hits + first]
+                place = 0 if last is None else int(np.searchsorted(times, last + pause))
+                while place < len(hits):
+                    k, last = hits[place], int(times[place])
+                    d, b, r, mark = change[k], baseline[k, m], recent[k, m], int(tie[k + first])
+                    found.append((*key, kind, "high" if d > threshold * high else "medium", d, b, r, threshold, f"{text}: {d:.3f} (baseline: {b:.3f}, recent: {r:.3f})",
+                                  pd.Timestamp(last, unit="us"), None if mark == self.NO_TIE else mark))
+                    place = max(place + 1, int(np.searchsorted(times, last + pause)))
                 if last is not None:
                     self.alerted.updateValue((kind,), (int(last),))
-        return pd.DataFrame(found, columns=self.columns) if found else None
+        if not found:
+            return None
+        out = pd.DataFrame(found, columns=self.columns, dtype=object)
+        return out.infer_objects().astype({self.columns[-1]: "Int64"})
 
 
 class NewestMatch(InEventOrder):
@@ -131,27 +157,29 @@ class NewestMatch(InEventOrder):
     """
 
     def __init__(self, slot: int, tolerance: int, columns: list[str]):
-        super().__init__("at LONG, side LONG, payload STRING")
+        super().__init__([("at", pa.int64()), ("side", pa.int64()), ("payload", pa.string())])
         self.slot, self.tolerance, self.columns = slot, tolerance, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.newest = handle.getValueState("newest", "at LONG, payload STRING")
 
-    def take(self, key, rows: list[tuple], passed: int) -> pd.DataFrame | None:
+    def take(self, key, rows: pd.DataFrame, passed: int) -> pd.DataFrame | None:
         newest = self.newest.get() if self.newest.exists() else None
-        out = []
-        for at, side, payload in rows:
-            if side == 0:
-                newest = (at, payload)
-            else:
-                near = newest is not None and at - newest[0] <= self.tolerance
-                out.append((payload, newest[0] if near else None, newest[1] if near else None))
+        if newest is not None:
+            rows = pd.concat([pd.DataFrame({"at": [int(newest[0])], "side": [0], "payload": [newest[1]]}), rows], ignore_index=True)
+        at, signal, payload = rows["at"].to_numpy("int64"), rows["side"].to_numpy("int64") == 0, rows["payload"].to_numpy(object)
+        before = np.maximum.accumulate(np.where(signal, np.arange(len(rows)), -1)) if len(rows) else np.zeros(0, "int64")
+        asks, found = np.flatnonzero(~signal), before[~signal]
+        near = (found >= 0) & (at[asks] - at[found] <= self.tolerance)
         end = (int(key[0]) + 1) * self.slot
         if passed >= end:
             self.newest.clear()
         else:
-            if newest is not None:
-                self.newest.update((int(newest[0]), newest[1]))
+            if signal.any():
+                self.newest.update((int(at[before[-1]]), payload[before[-1]]))
             self.wake(end)
-        return pd.DataFrame(out, columns=self.columns).astype({self.columns[1]: "Int64"}) if out else None
+        bar, when, what = self.columns
+        out = pd.DataFrame({bar: payload[asks], when: pd.array(at[found], "Int64"), what: payload[found]})
+        out.loc[~near, when], out.loc[~near, what] = pd.NA, None
+        return out

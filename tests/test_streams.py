@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators.drift import DriftConfig
+from marketloom.plans.ops_queries import arrive, time_slices
 from marketloom.streaming import core as st
 from marketloom.streaming import jobs as sj
 
@@ -62,6 +63,26 @@ def test_drift_alerts_do_not_depend_on_batches(spark, log, tmp_path):
     assert len(want) > 20
 
 
+def test_a_slice_of_many_files_is_one_batch(spark, log, tmp_path):
+    config = DriftConfig(0.31, 0.37, 0.21, 5, 45)
+    schema = "instrument string, timestamp timestamp_ntz, event_id long, prediction string, confidence double, avg_sentiment double"
+    want = replay([r for r in log if r[1] <= max(r[1] for r in log) - dt.timedelta(minutes=10)], config)
+    rows = spark.createDataFrame(log, schema).repartition(3)
+    folder, out, state = (str(tmp_path / x) for x in "fos")
+    found = sj.stream_drift_alerts(st.table_stream(spark, folder, rows.schema), config)
+    got = arrive({folder: time_slices(rows, "timestamp")}, lambda: st.drain(found, "x", out, state, keyed=True)).collect()
+    assert sorted((r.instrument, r.type, r.severity, round(r.drift_value, 9), r.timestamp) for r in got) == want
+
+
+def test_bars_without_any_signal_come_out(spark, tmp_path):
+    bars = spark.createDataFrame([("a", START + dt.timedelta(minutes=k), k) for k in range(60)], "instrument string, time timestamp_ntz, event_id long")
+    signals = spark.createDataFrame([], "signal_time timestamp_ntz, score double")
+    b, s, out, state = (str(tmp_path / x) for x in "bsoc")
+    found = sj.stream_asof_newest(st.table_stream(spark, b, bars.schema), st.table_stream(spark, s, signals.schema), quiet=True)
+    got = arrive({b: time_slices(bars, "time"), s: time_slices(signals, "signal_time")}, lambda: st.drain(found, "x", out, state, keyed=True)).collect()
+    assert sorted(r.event_id for r in got) == list(range(50)) and all(r.news_signal_time is None and r.news_score is None for r in got)
+
+
 def test_newest_match(spark, tmp_path):
     rnd = random.Random(8)
     bars = [("ab"[k % 2], START + dt.timedelta(seconds=97 * k, microseconds=k), k) for k in range(600)]
