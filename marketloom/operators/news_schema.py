@@ -46,9 +46,9 @@ NEWS_FEATURES = T.StructType(
 )
 
 
-def violations(parsed: str, text: Column) -> Column:
+def violations(parsed: str, keys: str) -> Column:
     """Names of fields that are missing, null though required, or out of bounds (sorted)."""
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+    keys = F.coalesce(F.col(keys), F.array().cast("array<string>"))
     checks = []
     for f in NEWS_FEATURES.fields:
         value = F.col(f"{parsed}.{f.name}")
@@ -64,8 +64,10 @@ def violations(parsed: str, text: Column) -> Column:
 
 
 def news_schema_validate(df: DataFrame, text: str = "features_json") -> DataFrame:
-    """Parsed features with the list of violated fields and a validity flag."""
-    parsed = df.withColumn("features", F.from_json(F.col(text), NEWS_FEATURES))
-    return parsed.withColumn("violations", violations("features", F.col(text))).withColumn(
-        "valid", (F.size("violations") == 0).cast("int")
-    )
+    """Parsed features with the list of violated fields and a validity flag.
+
+    The keys are a column, so that a text is read twice (values, keys) and not once more for every field that may be null.
+    """
+    parsed = df.withColumns({"features": F.from_json(F.col(text), NEWS_FEATURES), "_keys": F.json_object_keys(F.col(text))})
+    checked = parsed.withColumn("violations", violations("features", "_keys")).drop("_keys")
+    return checked.withColumn("valid", (F.size("violations") == 0).cast("int"))

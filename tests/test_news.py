@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.series import Series
 from marketloom.operators import asof as ao
 from marketloom.operators import drift as dr
+from marketloom.operators import news_schema as ns
 from marketloom.operators import prep as pr
 from marketloom.operators import sentiment as se
 from marketloom.sources.articles import build_manifest, read_articles_json
@@ -166,3 +167,13 @@ def test_asof_over_gaps_and_days(spark, hours):
     some = spark.createDataFrame([("a", start, "m"), ("b", start, "m"), ("c", start, "m"), ("a", None, "m")], "instrument string, time timestamp, _row string")
     out = ao.asof_join(some, ties, keys=["instrument"], ties=["x"]).collect()
     assert sorted((x.instrument, x.time is None, x.news_x, x._row) for x in out) == [("a", False, 3.0, "m"), ("a", True, None, "m"), ("b", False, 2.0, "m"), ("c", False, None, "m")]
+
+
+def test_schema_validation_reads_the_keys_once(spark):
+    texts = ['{"sentiment_trend": null}', '{"time_horizon": "x", "sentiment_trend": "up"}', "broken", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, features_json string")
+    out = ns.news_schema_validate(df)
+    assert out.columns == ["id", "features_json", "features", "violations", "valid"]
+    assert out.select("id", "violations", "valid")._jdf.queryExecution().optimizedPlan().toString().count("json_object_keys") == 1
+    missing = {r.id: set(ns.NULLABLE_TEXTS) - set(r.violations) for r in out.collect()}
+    assert missing == {0: {"sentiment_trend"}, 1: {"time_horizon", "sentiment_trend"}, 2: set(), 3: set()}
