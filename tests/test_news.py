@@ -174,6 +174,11 @@ def test_schema_validation_reads_the_keys_once(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, features_json string")
     out = ns.news_schema_validate(df)
     assert out.columns == ["id", "features_json", "features", "violations", "valid"]
-    assert out.select("id", "violations", "valid")._jdf.queryExecution().optimizedPlan().toString().count("json_object_keys") == 1
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1_000)
+    try:
+        plan = out.select("id", "violations", "valid")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("jsonObjectKeys") == 1
     missing = {r.id: set(ns.NULLABLE_TEXTS) - set(r.violations) for r in out.collect()}
     assert missing == {0: {"sentiment_trend"}, 1: {"time_horizon", "sentiment_trend"}, 2: set(), 3: set()}
