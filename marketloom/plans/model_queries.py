@@ -19,6 +19,7 @@ from ..session import materialize
 from .catalog import cols, cte, query, rnd, sql, table
 from .gold_queries import RATIO, ar_rows, block_rows, closes, labelled
 from .inputs import HOURLY, bars, hourly
+from .market_queries import log_ratio
 from .medallion import silver_market
 
 IRREGULAR = Series(step=None)
@@ -356,7 +357,9 @@ query("cv_summary", sql(
 def snapshot_sql() -> str:
     """The newest row from aggregates over the last n rows (r = 1 is the newest)."""
     def last(agg: str, n: int) -> str:
-        return f"{agg} FILTER (r <= {n})"
+        """NULL unless all of the last n rows have a value, as in the rolling features."""
+        x = agg[agg.index("(") + 1:-1]
+        return f"(CASE WHEN count({x}) FILTER (r <= {n}) = {n} THEN {agg} FILTER (r <= {n}) END)"
 
     def ewm(x: str, span: int) -> str:
         w = f"power({1 - 2 / (span + 1)!r}, r - 1)"
@@ -377,9 +380,10 @@ def snapshot_sql() -> str:
     q = f"{1 - 2 / 21!r}"
     s0, q0 = f"sum(CASE WHEN ret IS NOT NULL THEN power({q}, r - 1) END)", f"sum(CASE WHEN ret IS NOT NULL THEN power({q}, 2 * (r - 1)) END)"
     s1, s2 = f"sum(ret * power({q}, r - 1))", f"sum(ret * ret * power({q}, r - 1))"
-    rs = last("avg(ln(high / open) * ln(high / close) + ln(low / open) * ln(low / close))", 20)
+    ratio = lambda a, b: f"({log_ratio(a, b)})"
+    rs = last(f"avg({ratio('high', 'open')} * {ratio('high', 'close')} + {ratio('low', 'open')} * {ratio('low', 'close')})", 20)
     out = {
-        **{f"return_{n}": f"{c} / {at('close', n)} - 1" for n in (1, 5, 10)},
+        **{f"return_{n}": f"{c} / nullif({at('close', n)}, 0) - 1" for n in (1, 5, 10)},
         **{f"rsi_{n}": f"100 - 100 / (1 + {last('avg(gain)', n)} / ({last('avg(loss)', n)} + {e}))" for n in (14, 20)},
         "macd": at("macd"), "macd_signal": ewm("macd", 9), "macd_histogram": f"{at('macd')} - {ewm('macd', 9)}",
         "bb_middle": mid, "bb_upper": f"{mid} + 2 * {dev}", "bb_lower": f"{mid} - 2 * {dev}", "bb_width": f"4 * {dev}",
@@ -387,21 +391,21 @@ def snapshot_sql() -> str:
         **{f"sma_{n}": last("avg(close)", n) for n in (7, 14, 21, 50)}, **{f"ema_{n}": ewm("close", n) for n in (7, 14, 21)},
         "atr_14": last("avg(tr)", 14), "adx_14": last("avg(dx)", 14),
         **{f"momentum_{n}": f"{c} - {at('close', n)}" for n in (5, 10, 20)},
-        **{f"roc_{n}": f"100 * ({c} / {at('close', n)} - 1)" for n in (5, 10)},
+        **{f"roc_{n}": f"100 * ({c} / nullif({at('close', n)}, 0) - 1)" for n in (5, 10)},
         "volatility_20": std20, "volatility_50": std50, "hl_range": at("high - low"), "spread_proxy": at("high - low"),
-        **{n: at("(high - low) / close") for n in ("hl_range_pct", "spread_pct", "realized_range")},
-        "hl_range_ma20": last("avg(high - low)", 20), "realized_range_ma": last("avg((high - low) / close)", 20),
+        **{n: at("(high - low) / nullif(close, 0)") for n in ("hl_range_pct", "spread_pct", "realized_range")},
+        "hl_range_ma20": last("avg(high - low)", 20), "realized_range_ma": last("avg((high - low) / nullif(close, 0))", 20),
         "volume_ma20": last("avg(volume)", 20), "volume_ma50": last("avg(volume)", 50),
         "volume_ratio": f"{v} / ({last('avg(volume)', 20)} + {e})",
         "volume_zscore": f"({v} - {last('avg(volume)', 20)}) / ({last('stddev_samp(volume)', 20)} + {e})",
         "price_impact": at(f"abs(ret) / (volume + {e})"), "price_impact_ma20": last(f"avg(abs(ret) / (volume + {e}))", 20),
         "illiquidity": at(f"abs(ret) / (volume + {e}) * 1e6"), "illiquidity_ma20": last(f"avg(abs(ret) / (volume + {e}) * 1e6)", 20),
         "order_flow_imbalance": at(f"(close - open) / (high - low + {e})"),
-        "vwap": vwap, "close_vwap_ratio": f"{c} / {vwap}", "volume_velocity": last("avg(dv)", 10), "volume_acceleration": last("avg(ddv)", 10),
+        "vwap": vwap, "close_vwap_ratio": f"{c} / nullif({vwap}, 0)", "volume_velocity": last("avg(dv)", 10), "volume_acceleration": last("avg(ddv)", 10),
         "hist_vol_20": f"{std20} * {root}", "hist_vol_50": f"{std50} * {root}",
         "gk_vol": f"sqrt(CASE WHEN {last('avg(gk)', 20)} >= 0 THEN {last('avg(gk)', 20)} END) * {root}",
-        "parkinson_vol": f"sqrt({last('avg(ln(high / low) ** 2)', 20)} / (4 * ln(2))) * {root}", "rs_vol": f"sqrt({rs}) * {root}",
-        "yz_vol": f"sqrt({last('var_samp(oc)', 20)} + {k!r} * {last('var_samp(ln(close / open))', 20)} + {1 - k!r} * {rs}) * {root}",
+        "parkinson_vol": f"sqrt({last(f"avg({ratio('high', 'low')} ** 2)", 20)} / (4 * ln(2))) * {root}", "rs_vol": f"sqrt({rs}) * {root}",
+        "yz_vol": f"sqrt({last('var_samp(oc)', 20)} + {k!r} * {last(f"var_samp({ratio('close', 'open')})", 20)} + {1 - k!r} * {rs}) * {root}",
         "vol_of_vol": last("stddev_samp(v20)", 20),
         "ewma_vol": f"sqrt(greatest({s2} / {s0} - ({s1} / {s0}) ** 2, 0) * {s0} * {s0} / ({s0} * {s0} - {q0}))",
     }
@@ -411,17 +415,17 @@ def snapshot_sql() -> str:
     return sql(
         "t AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY time DESC) AS r FROM grid_1h "
         "QUALIFY r <= 200 AND count(*) OVER (PARTITION BY instrument) >= 50), "
-        f"x AS (SELECT *, close / {lag.format('close')} - 1 AS ret, close - {lag.format('close')} AS delta, high - {lag.format('high')} AS up, {lag.format('low')} - low AS down, "
+        f"x AS (SELECT *, close / nullif({lag.format('close')}, 0) - 1 AS ret, close - {lag.format('close')} AS delta, high - {lag.format('high')} AS up, {lag.format('low')} - low AS down, "
         f"greatest(high - low, abs(high - {lag.format('close')}), abs(low - {lag.format('close')})) AS tr, volume - {lag.format('volume')} AS dv, "
-        f"ln(open / {lag.format('close')}) AS oc, 0.5 * ln(high / low) ** 2 - (2 * ln(2) - 1) * ln(close / open) ** 2 AS gk FROM t), "
+        f"{log_ratio('open', lag.format('close'))} AS oc, 0.5 * {ratio('high', 'low')} ** 2 - (2 * ln(2) - 1) * {ratio('close', 'open')} ** 2 AS gk FROM t), "
         "y AS (SELECT *, CASE WHEN delta > 0 THEN delta ELSE 0 END AS gain, CASE WHEN delta < 0 THEN -delta ELSE 0 END AS loss, "
         "CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS pdm, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS mdm, "
-        f"dv - {lag.format('dv')} AS ddv, stddev_samp(ret) OVER {w.format(19)} AS v20 FROM x), "
-        f"z AS (SELECT *, 100 * avg(pdm) OVER {w.format(13)} / avg(tr) OVER {w.format(13)} AS pdi, 100 * avg(mdm) OVER {w.format(13)} / avg(tr) OVER {w.format(13)} AS mdi FROM y), "
+        f"dv - {lag.format('dv')} AS ddv, CASE WHEN count(ret) OVER {w.format(19)} = 20 THEN stddev_samp(ret) OVER {w.format(19)} END AS v20 FROM x), "
+        f"z AS (SELECT *, 100 * avg(pdm) OVER {w.format(13)} / nullif(avg(tr) OVER {w.format(13)}, 0) AS pdi, 100 * avg(mdm) OVER {w.format(13)} / nullif(avg(tr) OVER {w.format(13)}, 0) AS mdi FROM y), "
         f"m AS (SELECT a.instrument, a.r, {pair(12)} - {pair(26)} AS macd FROM t a JOIN t b ON a.instrument = b.instrument AND b.r >= a.r GROUP BY 1, 2), "
         "f AS (SELECT *, 100 * abs(pdi - mdi) / (pdi + mdi + 1e-10::DOUBLE) AS dx FROM z JOIN m USING (instrument, r)) "
-        f"SELECT instrument, max(time) AS time, {at('volume')} AS volume, {floats}, ({std20} < 0.8::DOUBLE * {std50})::INTEGER AS vol_regime_low, "
-        f"({std20} > 1.2::DOUBLE * {std50})::INTEGER AS vol_regime_high FROM f GROUP BY instrument", "grid_1h")
+        f"SELECT instrument, max(time) AS time, {at('volume')} AS volume, {floats}, coalesce(({std20} < 0.8::DOUBLE * {std50})::INTEGER, 0) AS vol_regime_low, "
+        f"coalesce(({std20} > 1.2::DOUBLE * {std50})::INTEGER, 0) AS vol_regime_high FROM f GROUP BY instrument", "grid_1h")
 
 
 @query("snapshot_features", snapshot_sql())

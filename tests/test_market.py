@@ -298,3 +298,20 @@ def test_volatility_of_zero_prices_is_null_in_query_and_sql(spark, tmp_path):
         want = con.execute(f"SELECT instrument, time, {value} FROM ({ORACLES[name]})").fetchall()
         assert sorted(map(tuple, got.select("instrument", "time", value).collect())) == sorted(want)
         assert sum(r[2] is None for r in want) > 40
+
+
+def test_snapshot_after_a_zero_price_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from marketloom.plans.registry import ORACLES, QUERIES
+
+    rnd = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, start + dt.timedelta(minutes=20 * k), "a", 0.0 if k == 391 else 50 + rnd.random()) for k in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = QUERIES["snapshot_features"](spark, str(tmp_path)).collect()[0].asDict()
+    cur = con.execute(ORACLES["snapshot_features"])
+    want = dict(zip([c[0] for c in cur.description], cur.fetchone()))
+    assert got == want and [got[c] for c in ("gk_vol", "parkinson_vol", "rs_vol", "yz_vol")] == [None] * 4 and got["volatility_50"] is not None
