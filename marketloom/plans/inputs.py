@@ -41,23 +41,26 @@ def minute_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 cte("ticks", "SELECT event_type AS instrument, ts AS time, value AS price, event_id FROM events")
-for _name, _unit in (("1h", "hour"), ("1m", "minute")):
-    cte(
-        f"bars_{_name}",
-        f"SELECT instrument, date_trunc('{_unit}', time) AS time, arg_min(price, time) AS open, max(price) AS high, "
-        "min(price) AS low, arg_max(price, time) AS close, count(*) AS volume FROM ticks GROUP BY 1, 2",
-        "ticks",
-    )
-    cte(
-        f"grid_{_name}",
-        f"SELECT s.instrument, s.time, b.open, b.high, b.low, b.close, b.volume, b.time AS source_time, "
-        f"datediff('{_unit}', b.time, s.time) AS minutes_since_last_data, "
-        "CASE WHEN b.time = s.time THEN 0 ELSE 1 END AS is_backfilled "
-        f"FROM (SELECT instrument, unnest(generate_series(min(time), max(time), INTERVAL 1 {_unit})) AS time "
-        f"FROM bars_{_name} GROUP BY instrument) s ASOF JOIN bars_{_name} b "
-        "ON s.instrument = b.instrument AND s.time >= b.time",
-        f"bars_{_name}",
-    )
+# The clean ones write out what `ohlcv_bars` says of ticks: those of one time go by event_id, NaN and infinities are missing.
+cte("clean_ticks", "SELECT instrument, time, CASE WHEN isfinite(price) THEN price END AS price, event_id FROM ticks", "ticks")
+for _kind, _order in (("", "time"), ("clean_", "(time, event_id, price)")):
+    for _name, _unit in (("1h", "hour"), ("1m", "minute")):
+        cte(
+            f"{_kind}bars_{_name}",
+            f"SELECT instrument, date_trunc('{_unit}', time) AS time, arg_min(price, {_order}) AS open, max(price) AS high, "
+            f"min(price) AS low, arg_max(price, {_order}) AS close, count(*) AS volume FROM {_kind}ticks GROUP BY 1, 2",
+            f"{_kind}ticks",
+        )
+        cte(
+            f"{_kind}grid_{_name}",
+            f"SELECT s.instrument, s.time, b.open, b.high, b.low, b.close, b.volume, b.time AS source_time, "
+            f"datediff('{_unit}', b.time, s.time) AS minutes_since_last_data, "
+            "CASE WHEN b.time = s.time THEN 0 ELSE 1 END AS is_backfilled "
+            f"FROM (SELECT instrument, unnest(generate_series(min(time), max(time), INTERVAL 1 {_unit})) AS time "
+            f"FROM {_kind}bars_{_name} GROUP BY instrument) s ASOF JOIN {_kind}bars_{_name} b "
+            "ON s.instrument = b.instrument AND s.time >= b.time",
+            f"{_kind}bars_{_name}",
+        )
 
 
 # --- news ---------------------------------------------------------------------------------------

@@ -17,23 +17,26 @@ from .inputs import HOURLY, MINUTE, OHLCV, bars, hourly, minute_grid, ticks
 G = "grid_1h"
 
 
-def simple(name, op, columns, select, *, ctes: str = "", source: str = G, needs=(G,), recursive=False, ints=(), **params):
+def simple(name, op, columns, select, *, ctes: str = "", source: str = G, needs=(G,), recursive=False, ints=(), checks=None, **params):
     """Register a per-bar feature over the hourly grid, and as ``<name>_m1`` over the minute grid.
 
     The minute grid has several block and sub-block edges in each series.  Recursive checks take
-    one step of SQL a row and stay on the hourly grid.
+    one step of SQL a row and stay on the hourly grid.  ``checks`` holds the SQL of a name that
+    has its own.
     """
+    checks = checks or {}
     floats = [c for c in columns if c not in ints]
     inner = f"f AS (SELECT instrument, time, {select} FROM {source})"
     tail = ", ".join(([rnd(*floats)] if floats else []) + list(ints))
     body = f"{ctes}{inner} SELECT instrument, time, {tail} FROM f"
 
-    @query(name, sql(body, *needs, recursive=recursive))
+    @query(name, checks.get(name) or sql(body, *needs, recursive=recursive))
     def run(spark, d):
         return cols(op(hourly(spark, d), HOURLY, **params), columns)
 
     if not recursive:
-        @query(f"{name}_m1", sql(body.replace("_1h", "_1m"), *[n.replace("_1h", "_1m") for n in needs]))
+        own = checks.get(f"{name}_m1")
+        @query(f"{name}_m1", own or sql(body.replace("_1h", "_1m"), *[n.replace("_1h", "_1m") for n in needs]))
         def run_m1(spark, d):
             return cols(op(g.grid_reindex_ffill(bars(spark, d, "M1"), MINUTE).select(*OHLCV), MINUTE, **params), columns)
 
@@ -277,12 +280,23 @@ def log_ratio(a: str, b: str) -> str:
     return f"CASE WHEN {a} / nullif({b}, 0) > 0 THEN ln({a} / {b}) END"
 
 
+def mean_check(value: str, term: str, unit: str, share: str = "1") -> str:
+    """SQL of a volatility from the mean of a term of each bar, with ties of ticks and missing values as the operators say."""
+    return sql(
+        f"x AS (SELECT *, {term} AS u FROM clean_grid_{unit}), w AS (SELECT *, CASE WHEN isfinite(u) THEN u END AS t FROM x), "
+        f"y AS (SELECT *, ({roll('avg', 't', 20)}) / ({share}) AS m FROM w), "
+        f"f AS (SELECT instrument, time, {root('m')} AS {value} FROM y) SELECT instrument, time, {rnd(value)} FROM f",
+        f"clean_grid_{unit}",
+    )
+
+
 HL, CO = log_ratio("high", "low"), log_ratio("close", "open")
+GK = f"0.5 * ({HL}) ** 2 - (2 * ln(2) - 1) * ({CO}) ** 2"
 simple("hist_vol", vo.hist_vol, ["hist_vol_20", "hist_vol_50"],
        named({f"hist_vol_{n}": f"({roll('stddev_samp', 'ret', n)}) * {A}" for n in (20, 50)}), ctes=RET, source="r")
 simple("garman_klass", vo.garman_klass, ["gk_vol"], f"{root('m')} AS gk_vol", source="y", ctes=(
-    f"x AS (SELECT *, 0.5 * ({HL}) ** 2 - (2 * ln(2) - 1) * ({CO}) ** 2 AS t FROM grid_1h), "
-    f"y AS (SELECT *, {roll('avg', 't', 20)} AS m FROM x), "))
+    f"x AS (SELECT *, {GK} AS t FROM grid_1h), "
+    f"y AS (SELECT *, {roll('avg', 't', 20)} AS m FROM x), "), checks={"garman_klass_m1": mean_check("gk_vol", GK, "1m")})
 simple("parkinson", vo.parkinson, ["parkinson_vol"], f"{root('m')} AS parkinson_vol", source="y", ctes=(
     f"y AS (SELECT *, ({roll('avg', f'(({HL}) ** 2)', 20)}) / (4 * ln(2)) AS m FROM grid_1h), "))
 RS = f"x AS (SELECT *, ({log_ratio('high', 'close')}) * ({log_ratio('high', 'open')}) + ({log_ratio('low', 'close')}) * ({log_ratio('low', 'open')}) AS t, " \

@@ -315,3 +315,31 @@ def test_snapshot_after_a_zero_price_equals_its_sql(spark, tmp_path):
     cur = con.execute(ORACLES["snapshot_features"])
     want = dict(zip([c[0] for c in cur.description], cur.fetchone()))
     assert got == want and [got[c] for c in ("gk_vol", "parkinson_vol", "rs_vol", "yz_vol")] == [None] * 4 and got["volatility_50"] is not None
+
+
+def odd_ticks(spark, tmp_path):
+    """Three ticks at each time, written against their ids, with prices that are missing or out of range of a ratio."""
+    rnd = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    odd = {150: float("nan"), 400: float("inf"), 640: None, 900: -float("inf"), 1100: 1e-310}
+    rows = [(k, start + dt.timedelta(minutes=k // 3 * 4), "a", odd.get(k, 50 + rnd.random())) for k in range(1_500)]
+    spark.createDataFrame(rows[::-1], "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def same_as_sql(spark, folder, name):
+    import duckdb
+
+    from marketloom.plans.registry import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    got = QUERIES[name](spark, folder)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    values = [r[-1] for r in want]
+    assert sum(v is not None and 0 < v < float("inf") for v in values) > 50 and all(v is None or v == v for v in values)
+
+
+def test_garman_klass_m1_with_ties_and_missing_prices_equals_its_sql(spark, tmp_path):
+    same_as_sql(spark, odd_ticks(spark, tmp_path), "garman_klass_m1")
