@@ -299,10 +299,11 @@ simple("garman_klass", vo.garman_klass, ["gk_vol"], f"{root('m')} AS gk_vol", so
     f"y AS (SELECT *, {roll('avg', 't', 20)} AS m FROM x), "), checks={"garman_klass_m1": mean_check("gk_vol", GK, "1m")})
 simple("parkinson", vo.parkinson, ["parkinson_vol"], f"{root('m')} AS parkinson_vol", source="y", ctes=(
     f"y AS (SELECT *, ({roll('avg', f'(({HL}) ** 2)', 20)}) / (4 * ln(2)) AS m FROM grid_1h), "))
-RS = f"x AS (SELECT *, ({log_ratio('high', 'close')}) * ({log_ratio('high', 'open')}) + ({log_ratio('low', 'close')}) * ({log_ratio('low', 'open')}) AS t, " \
+RT = f"({log_ratio('high', 'close')}) * ({log_ratio('high', 'open')}) + ({log_ratio('low', 'close')}) * ({log_ratio('low', 'open')})"
+RS = f"x AS (SELECT *, {RT} AS t, " \
      f"{log_ratio('open', lag('close'))} AS o, {CO} AS c FROM grid_1h), "
 simple("rogers_satchell", vo.rogers_satchell, ["rs_vol"], f"{root('m')} AS rs_vol", source="y",
-       ctes=RS + f"y AS (SELECT *, {roll('avg', 't', 20)} AS m FROM x), ")
+       ctes=RS + f"y AS (SELECT *, {roll('avg', 't', 20)} AS m FROM x), ", checks={"rogers_satchell": mean_check("rs_vol", RT, "1h")})
 K = 0.34 / (1.34 + 21 / 19)
 simple("yang_zhang", vo.yang_zhang, ["yz_vol"], f"{root('m')} AS yz_vol", source="y", ctes=RS + (
     f"y AS (SELECT *, ({roll('var_samp', 'o', 20)}) + {K!r} * ({roll('var_samp', 'c', 20)}) + {1 - K!r} * ({roll('avg', 't', 20)}) AS m FROM x), "))

@@ -317,12 +317,12 @@ def test_snapshot_after_a_zero_price_equals_its_sql(spark, tmp_path):
     assert got == want and [got[c] for c in ("gk_vol", "parkinson_vol", "rs_vol", "yz_vol")] == [None] * 4 and got["volatility_50"] is not None
 
 
-def odd_ticks(spark, tmp_path):
+def odd_ticks(spark, tmp_path, minutes=4):
     """Three ticks at each time, written against their ids, with prices that are missing or out of range of a ratio."""
     rnd = random.Random(6)
     start = dt.datetime(2024, 1, 1)
     odd = {150: float("nan"), 400: float("inf"), 640: None, 900: -float("inf"), 1100: 1e-310}
-    rows = [(k, start + dt.timedelta(minutes=k // 3 * 4), "a", odd.get(k, 50 + rnd.random())) for k in range(1_500)]
+    rows = [(k, start + dt.timedelta(minutes=k // 3 * minutes), "a", odd.get(k, 50 + rnd.random())) for k in range(1_500)]
     spark.createDataFrame(rows[::-1], "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     return str(tmp_path)
 
@@ -343,3 +343,7 @@ def same_as_sql(spark, folder, name):
 
 def test_garman_klass_m1_with_ties_and_missing_prices_equals_its_sql(spark, tmp_path):
     same_as_sql(spark, odd_ticks(spark, tmp_path), "garman_klass_m1")
+
+
+def test_rogers_satchell_with_ties_and_missing_prices_equals_its_sql(spark, tmp_path):
+    same_as_sql(spark, odd_ticks(spark, tmp_path, 20), "rogers_satchell")
