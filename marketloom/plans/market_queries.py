@@ -299,7 +299,7 @@ simple("garman_klass", vo.garman_klass, ["gk_vol"], f"{root('m')} AS gk_vol", so
     f"y AS (SELECT *, {roll('avg', 't', 20)} AS m FROM x), "), checks={"garman_klass_m1": mean_check("gk_vol", GK, "1m")})
 simple("parkinson", vo.parkinson, ["parkinson_vol"], f"{root('m')} AS parkinson_vol", source="y", ctes=(
     f"y AS (SELECT *, ({roll('avg', f'(({HL}) ** 2)', 20)}) / (4 * ln(2)) AS m FROM grid_1h), "),
-    checks={"parkinson_m1": mean_check("parkinson_vol", f"({HL}) ** 2", "1m", "4 * ln(2)")})
+    checks={name: mean_check("parkinson_vol", f"({HL}) ** 2", unit, "4 * ln(2)") for name, unit in (("parkinson", "1h"), ("parkinson_m1", "1m"))})
 RT = f"({log_ratio('high', 'close')}) * ({log_ratio('high', 'open')}) + ({log_ratio('low', 'close')}) * ({log_ratio('low', 'open')})"
 RS = f"x AS (SELECT *, {RT} AS t, " \
      f"{log_ratio('open', lag('close'))} AS o, {CO} AS c FROM grid_1h), "

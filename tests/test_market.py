@@ -351,3 +351,7 @@ def test_rogers_satchell_with_ties_and_missing_prices_equals_its_sql(spark, tmp_
 
 def test_parkinson_m1_with_missing_prices_equals_its_sql(spark, tmp_path):
     same_as_sql(spark, odd_ticks(spark, tmp_path), "parkinson_m1")
+
+
+def test_parkinson_with_missing_prices_equals_its_sql(spark, tmp_path):
+    same_as_sql(spark, odd_ticks(spark, tmp_path, 20), "parkinson")
