@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by inner product: NN-descent graph, greedy graph search.
 
-Graph.  Each vector starts with its best `k` among two random chunks.  Then rounds of joins: every
-node's list and a sample of the lists it is in are brought together with their vectors, each two of
-those members are neighbours of neighbours and are scored, and what beats a member's own worst
-neighbour is sent to it.  Rounds end when at most one list entry in a
-thousand changes.
+Graph.  Each vector starts with its best `k` among its chunks: one random chunk, and one cell of each
+of `DRAWS` draws of pivots (a vector is in the cell of the pivot it is nearest to by angle; a cell
+much larger than a chunk is cut at random).  Then rounds of joins: every node's list and a sample of
+the lists it is in are brought together with their vectors, each two of those members are neighbours
+of neighbours and are scored, and what beats a member's own worst neighbour is sent to it.  Rounds
+end when at most one list entry in ten changes.
 
 Search.  A query starts from its own list in the graph, expands its best nodes that are not yet
-expanded, a batch in each join, and ends when its best `beam` nodes are all expanded.  Vectors are navigated by 8-bit copies; the final candidates are scored in double
-precision on the original vectors.
+expanded, all that are open at once, and ends when its best `BEAM` nodes are all expanded.  A node's
+neighbourhood and all queries that expand it meet once in each round.  Vectors are navigated by 8-bit
+copies; the final candidates are scored in double precision on the original vectors.
+
+Pivots are the only sample: at most 1,024 vectors for each draw and level, taken by the hash of the
+id.  Every vector is in the graph.
 
 Equal vectors are one node.  A result lists members of a node in ascending id; since only `top` rows
 are asked for, the `top`+1 smallest ids of a node are enough, and they are whole.
@@ -30,42 +35,104 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 TOP = 20
-K, CHUNK, SENT = 32, 4_096, 10
-FEW_CHANGES = 0.001
-BEAM, EXPANDED, KEPT = 192, 96, 256
+K, CHUNK, DRAWS, SENT = 32, 1_024, 8, 10
+#: Nodes that list a node, in its neighbourhood: while the graph is built, and in the search.
+BACK, BACK_SEARCH = 16, 32
+#: Smaller tables have smaller chunks: no chunk holds more than this share of the nodes, down to LEAST.
+SHARE, LEAST, PIVOTS = 32, 64, 1_024
+FEW_CHANGES = 0.1
+BEAM = 512
 
 
 # --- packed vectors and lists ---
 
-def pack_vectors(x: np.ndarray) -> list[bytes]:
-    """A float32 scale and one signed byte per component."""
+def pack_vectors(x: np.ndarray) -> np.ndarray:
+    """A row of bytes for each vector: a float32 scale and one signed byte per component."""
     scale = np.maximum(np.abs(x).max(1, keepdims=True), 1e-30) / 127
-    codes = np.rint(x / scale).astype(np.int8)
-    return [s.tobytes() + c.tobytes() for s, c in zip(scale[:, 0].astype(np.float32), codes)]
+    return np.concatenate([scale.astype("<f4").view(np.int8), np.rint(x / scale).astype(np.int8)], 1)
+
+
+def values_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and where each value begins and the last ends."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    held = column.buffers()[2]
+    return np.frombuffer(held, np.uint8)[ends[0]:ends[-1]] if held is not None else np.empty(0, np.uint8), ends - ends[0]
+
 
+def binary_of(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column whose values are the next counts[i] rows of `values`."""
+    size = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    ends = np.concatenate([[0], np.cumsum(counts)]) * size
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
-def unpack_vectors(packed: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(packed), np.int8).reshape(len(packed), -1)
-    return raw[:, 4:].astype(np.float32) * raw[:, :4].copy().view(np.float32)
+
+def unpack_vectors(packed: np.ndarray, count: int) -> np.ndarray:
+    raw = packed.view(np.int8).reshape(count, -1)
+    return raw[:, 4:].astype(np.float32) * raw[:, :4].copy().view("<f4")
 
 
 ENTRY = np.dtype([("id", "<i8"), ("score", "<f4")])
 
 
-def pack_list(ids: np.ndarray, scores: np.ndarray) -> bytes:
-    out = np.empty(len(ids), ENTRY)
-    out["id"], out["score"] = ids, scores
-    return out.tobytes()
+def runs_of(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the length."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+
+
+def best_entries(node: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node the k best distinct entries, score descending, then id: node, entry."""
+    other = node != ids
+    node, ids, scores = node[other], ids[other], scores[other]
+    order = np.lexsort((-scores, ids, node))
+    node, ids, scores = node[order], ids[order], scores[order]
+    if len(node):
+        first = np.concatenate([[True], (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])])
+        node, ids, scores = node[first], ids[first], scores[first]
+    order = np.lexsort((-scores, node))  # stable: ids ascend
+    node = node[order]
+    runs = runs_of(node)
+    use = np.arange(len(node)) - np.repeat(runs[:-1], np.diff(runs)) < k
+    entries = np.empty(int(use.sum()), ENTRY)
+    entries["id"], entries["score"] = ids[order][use], scores[order][use]
+    return node[use], entries
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by the first column, in batches such that no value of it is in two of them."""
+    held: list[pa.RecordBatch] = []
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(0).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last:
+            yield joined([*held, b.slice(0, last)])
+            held = []
+        elif held and held[0].column(0)[0].as_py() != keys[0]:
+            yield joined(held)
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield joined(held)
+
 
+LISTS = "node long, list binary"
 
-def best_of(parts: list[bytes], own: int, k: int) -> np.ndarray:
-    """The k best distinct entries: score descending, then id."""
-    both = np.frombuffer(b"".join(parts), ENTRY)
-    both = both[both["id"] != own]
-    both = both[np.lexsort((-both["score"], both["id"]))]
-    if len(both):
-        both = both[np.concatenate([[True], both["id"][1:] != both["id"][:-1]])]
-    return both[np.lexsort((both["id"], -both["score"]))][:k]
+
+def list_batch(node: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """Rows of LISTS; the entries of a node lie together."""
+    runs = runs_of(node)
+    return pa.RecordBatch.from_pydict({"node": pa.array(node[runs[:-1]], pa.int64()), "list": binary_of(entries, np.diff(runs))})
+
+
+def entries_in(keys: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The key of every entry, the entries."""
+    raw, ends = values_of(column)
+    return np.repeat(keys, np.diff(ends) // ENTRY.itemsize), raw.view(ENTRY)
 
 
 def batch_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -78,20 +145,21 @@ def batch_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 # --- nodes ---
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """vec_id, vector (array of float) of the vectors that take part."""
+    """vec_id, vector (array of double) of the vectors that take part; repeated rows stay."""
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector")).filter(
         F.col("vec_id").isNotNull() & F.col("vector").isNotNull()
         & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0))
+    rows = materialize(rows, "nn-rows")
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()  # one row per dimension
     return rows.filter(F.size("vector") == (sizes[0] if sizes else 0))
 
 
 def nodes_of(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     """(node, vector), (node, members: the top+1 smallest ids of equal vectors)."""
+    nodes = materialize(rows.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("rows")).select("node", "vector", "rows"), "nn-nodes")
+    # ids of vectors in several rows: the smallest of each salted part, then of the parts
     keyed = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    nodes = rows.groupBy("vector").agg(F.min("vec_id").alias("node")).select("node", "vector")
-    # ids by vector: the smallest of each salted part, then of the parts
-    wide = keyed.join(nodes, "vector").select("node", "salt", "vec_id").distinct()
+    wide = keyed.join(nodes.filter("rows > 1"), "vector").select("node", "salt", "vec_id").distinct()
 
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, count = None, 0
@@ -105,7 +173,8 @@ def nodes_of(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
             yield batch_of("node long, vec_id long", out)
     some = wide.repartition("node", "salt").sortWithinPartitions("node", "salt", "vec_id").mapInArrow(smallest, "node long, vec_id long")
     members = some.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, top + 1).alias("members"))
-    return nodes, members
+    alone = nodes.filter("rows = 1").select("node", F.array("node").alias("members"))
+    return nodes.select("node", "vector"), materialize(members.unionByName(alone), "nn-members")
 
 
 # --- graph ---
@@ -114,130 +183,170 @@ def packed(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                yield pa.RecordBatch.from_pydict({"node": b.column(0), "vec": pa.array(pack_vectors(x), pa.binary())})
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_pydict({"node": b.column(0), "vec": binary_of(pack_vectors(x), np.ones(b.num_rows, int))})
     return nodes.select("node", "vector").mapInArrow(run, "node long, vec binary")
 
 
-LISTS = "node long, list binary"
+def pivots_of(vectors: DataFrame, cells: int, draws: int) -> list[list[np.ndarray]]:
+    """Directions of each draw and level: their numbers multiply to about `cells`, none above PIVOTS."""
+    levels = 1
+    while cells ** (1 / levels) > PIVOTS:
+        levels += 1
+    each = int(np.ceil(cells ** (1 / levels)))
+    rows = vectors.orderBy(F.xxhash64("node", F.lit("pivot")), "node").select("vec").limit(each * levels * draws).collect()  # bounded
+    x = unpack_vectors(np.frombuffer(b"".join(r["vec"] for r in rows), np.uint8), len(rows))
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + np.float32(1e-30)
+    parts = np.array_split(x, draws * levels)
+    return [parts[at * levels:(at + 1) * levels] for at in range(draws)]
 
 
-def first_lists(vectors: DataFrame, k: int, chunk: int, draw: int, n: int) -> DataFrame:
-    """The k best of a random chunk of about `chunk` of the n nodes; another `draw` gives other chunks."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, vecs = None, [], []
-
-        def lists() -> pa.RecordBatch:
-            own, x, out = np.array(ids), unpack_vectors(vecs), []
-            take = min(k, len(own) - 1)
-            for at in range(0, len(own), 512):
-                s = x[at:at + 512] @ x.T
-                s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-                best = np.argpartition(-s, take - 1, 1)[:, :take] if take > 0 else np.empty((len(s), 0), int)
-                out += [(int(own[at + r]), pack_list(own[best[r]], s[r, best[r]])) for r in range(len(s))]
-            return batch_of(LISTS, out)
+def chunks_of(vectors: DataFrame, chunk: int, n: int) -> DataFrame:
+    """chunk, node, vec: a row for the random chunk of each node and one for its cell of each draw."""
+    cells = max(1, round(n / chunk))
+    pivots = pivots_of(vectors, cells, DRAWS) if cells > 1 else []
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c, node, vec in zip(*(b.column(m).to_pylist() for m in range(3))):
-                if c != held and ids:
-                    yield lists()
-                    ids, vecs = [], []
-                held = c
-                ids.append(node)
-                vecs.append(vec)
-        if ids:
-            yield lists()
+            if not b.num_rows:
+                continue
+            x = unpack_vectors(values_of(b.column(1))[0], b.num_rows)
+            for at, levels in enumerate(pivots):
+                cell = np.zeros(len(x), np.int64)
+                for p in levels:
+                    cell = cell * len(p) + np.concatenate([(x[k:k + 2048] @ p.T).argmax(1) for k in range(0, len(x), 2048)])
+                yield pa.RecordBatch.from_pydict({"chunk": cell * DRAWS + at, "node": b.column(0), "vec": b.column(1)})
+    drawn = vectors.select(-1 - F.pmod(F.xxhash64("node"), F.lit(cells)).alias("chunk"), "node", "vec").toDF("chunk", "node", "vec")
+    if not pivots:
+        return drawn.withColumn("piece", F.lit(0).cast("long"))
+    near = vectors.select("node", "vec").mapInArrow(cells_of, "chunk long, node long, vec binary")
+    large = near.groupBy("chunk").agg(F.count("*").alias("size")).filter(F.col("size") > 2 * chunk)
+    if large.isEmpty():
+        return drawn.unionByName(near).withColumn("piece", F.lit(0).cast("long"))
+    pieces = F.coalesce(F.ceil(F.col("size") / chunk), F.lit(1).cast("long"))
+    return drawn.unionByName(near).join(large, "chunk", "left").select("chunk", "node", "vec", F.pmod(F.xxhash64("node", "chunk"), pieces).alias("piece"))
+
+
+def first_lists(vectors: DataFrame, k: int, chunk: int, n: int) -> DataFrame:
+    """The k best of each chunk of a node, a row for each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_keys(batches):
+            piece, node, raw = b.column(1).to_numpy(), b.column(2).to_numpy(), values_of(b.column(3))[0]
+            x = unpack_vectors(raw, b.num_rows)
+            key = np.stack([b.column(0).to_numpy(), piece], 1)
+            runs = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for a, e in zip(runs[:-1], runs[1:]):
+                take = min(k, e - a - 1)
+                for at in range(a, e, 2048):
+                    own = node[at:min(at + 2048, e)]
+                    if take <= 0:
+                        yield pa.RecordBatch.from_pydict({"node": own, "list": binary_of(np.empty(0, ENTRY), np.zeros(len(own), int))})
+                        continue
+                    s = x[at:at + len(own)] @ x[a:e].T
+                    s[np.arange(len(own)), np.arange(at - a, at - a + len(own))] = -np.inf
+                    best = np.argpartition(s, e - a - take, 1)[:, e - a - take:]
+                    entries = np.empty(best.shape, ENTRY)
+                    entries["id"], entries["score"] = node[a:e][best], np.take_along_axis(s, best, 1)
+                    yield pa.RecordBatch.from_pydict({"node": own, "list": binary_of(entries.ravel(), np.full(len(own), take))})
     # the chunk is a key of its own, so its size doesn't depend on the number of partitions
-    numbered = vectors.select(F.pmod(F.xxhash64("node", F.lit(draw)), F.lit(max(1, round(n / chunk)))).alias("chunk"), "node", "vec")
-    return numbered.repartition("chunk").sortWithinPartitions("chunk", "node").mapInArrow(run, LISTS)
+    return chunks_of(vectors, chunk, n).select("chunk", "piece", "node", "vec").repartition("chunk", "piece").sortWithinPartitions("chunk", "piece", "node").mapInArrow(run, LISTS)
 
 
 def neighbours_in(lists: DataFrame) -> DataFrame:
     """One row per list entry: node, other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [np.frombuffer(x, ENTRY)["id"] for x in b.column(1).to_pylist()]
-            node = np.repeat(b.column(0).to_numpy(), [len(x) for x in lists])
-            yield pa.RecordBatch.from_pydict({"node": node, "other": np.concatenate(lists) if lists else np.empty(0, np.int64)})
-    return lists.mapInArrow(run, "node long, other long")
+            node, entries = entries_in(b.column(0).to_numpy(), b.column(1))
+            yield pa.RecordBatch.from_pydict({"node": node, "other": entries["id"].copy()})
+    return lists.select("node", "list").mapInArrow(run, "node long, other long")
 
 
-def neighbourhoods(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """center, members: (id, vec, worst) of its list and of a sample of about k of the nodes that list it."""
+def neighbourhoods(lists: DataFrame, vectors: DataFrame, k: int, back: int) -> DataFrame:
+    """center, node, vec, worst, sorted by the first two: the members are its list and a sample of about `back` of the nodes that list it."""
     forward = neighbours_in(lists)
     degree = forward.groupBy("other").agg(F.count("*").alias("degree"))
-    rate = F.lit(float(k)) / F.col("degree") * (1 << 20)
-    backward = forward.join(degree, "other").filter(F.pmod(F.xxhash64("node", "other"), F.lit(1 << 20)) < rate)
-    pairs = forward.select(F.col("node").alias("center"), F.col("other").alias("node")).unionByName(backward.select(F.col("other").alias("center"), "node")).distinct()
+    rate = F.lit(float(back)) / F.col("degree") * (1 << 20)
+    backward = forward.join(degree.hint("shuffle_hash"), "other").filter(F.pmod(F.xxhash64("node", "other"), F.lit(1 << 20)) < rate)
+    pairs = forward.select(F.col("node").alias("center"), F.col("other").alias("node")).unionByName(backward.select(F.col("other").alias("center"), "node"))
 
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [np.frombuffer(x, ENTRY)["score"] for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"node": b.column(0), "worst": pa.array([float(s.min()) if len(s) >= k else float("-inf") for s in scores], pa.float32())})
-    told = vectors.join(lists.mapInArrow(worst, "node long, worst float"), "node")
-    return pairs.join(told, "node").groupBy("center").agg(F.collect_list(F.struct("node", "vec", "worst")).alias("members"))
+            raw, ends = values_of(b.column(1))
+            scores, counts = raw.view(ENTRY)["score"], np.diff(ends) // ENTRY.itemsize
+            out = np.full(b.num_rows, -np.inf, np.float32)
+            out[counts >= k] = scores[ends[1:][counts >= k] // ENTRY.itemsize - 1]  # best first
+            yield pa.RecordBatch.from_pydict({"node": b.column(0), "worst": out})
+    # the small side, a row for each node, is hashed: the pairs need no sort before the one by center
+    told = vectors.join(lists.select("node", "list").mapInArrow(worst, "node long, worst float"), "node")
+    return pairs.join(told.hint("shuffle_hash"), "node").select("center", "node", "vec", "worst").repartition("center").sortWithinPartitions("center", "node")
 
 
-def unpacked_members(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    flat, ends = column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
-    ids, worst = flat.field("node").to_numpy(), flat.field("worst").to_numpy()
-    x = unpack_vectors(flat.field("vec").to_pylist()) if len(ids) else np.empty((0, 0), np.float32)
-    for a, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        yield ids[a:e], x[a:e], worst[a:e]
+def members_in(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of whole neighbourhoods: center, node, packed vectors, worst; a member that came twice is there once."""
+    center, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+    raw = values_of(b.column(2))[0].reshape(b.num_rows, -1)
+    once = np.concatenate([[True], (center[1:] != center[:-1]) | (node[1:] != node[:-1])])
+    return center[once], node[once], raw[once], b.column(3).to_numpy(zero_copy_only=False)[once]
 
 
-def updates(around: DataFrame, sent: int) -> DataFrame:
+def updates(around: DataFrame, k: int, sent: int) -> DataFrame:
     """For each member of a neighbourhood, the best of the other members that beat its worst neighbour."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for ids, x, worst in unpacked_members(b.column(0)):
-                if len(ids) < 2:
-                    continue
-                s = x @ x.T
-                np.fill_diagonal(s, -np.inf)
-                s[s <= worst[:, None]] = -np.inf
-                take = min(sent, len(ids))
-                best = np.argpartition(-s, take - 1, 1)[:, :take]
-                good = np.take_along_axis(s, best, 1)
-                for r in np.flatnonzero((good > -np.inf).any(1)).tolist():
-                    use = good[r] > -np.inf
-                    out.append((int(ids[r]), pack_list(ids[best[r][use]], good[r][use])))
-            yield batch_of(LISTS, out)
-    return around.select("members").mapInArrow(run, LISTS)
-
-
-def merged(lists: DataFrame, more: DataFrame, k: int) -> DataFrame:
+        for b in whole_keys(batches):
+            center, ids, raw, worst = members_in(b)
+            x, runs, found = unpack_vectors(raw.ravel(), len(raw)), runs_of(center), []
+            for at in range(0, len(runs) - 1, 128):
+                starts, sizes = runs[at:at + 129][:-1], np.diff(runs[at:at + 129])
+                most = int(sizes.max())
+                place = np.arange(most)
+                there = place < sizes[:, None]
+                rows = np.where(there, starts[:, None] + place, starts[:, None])
+                y = x[rows]
+                s = y @ y.transpose(0, 2, 1)
+                s[~np.broadcast_to(there[:, None, :], s.shape)] = -np.inf
+                s[:, place, place] = -np.inf
+                s = s.reshape(-1, most)
+                good = s > np.where(there, worst[rows], np.inf).reshape(-1, 1)
+                many = np.flatnonzero(good.sum(1) > sent)
+                if len(many):
+                    over = s[many]
+                    good[many] &= over >= np.partition(over, most - sent, 1)[:, most - sent, None]
+                r, c = np.nonzero(good)
+                found.append((ids[rows.ravel()[r]], ids[rows[r // most, c]], s[r, c]))
+            yield list_batch(*best_entries(*(np.concatenate(f) for f in zip(*found)), k))
+    return around.mapInArrow(run, LISTS)
+
+
+def merged(lists: DataFrame | None, more: DataFrame, k: int) -> DataFrame:
     """New lists and how many entries are new: node, list, changed."""
-    rows = lists.select("node", "list", F.lit(0).alias("late")).unionByName(more.select("node", "list", F.lit(1).alias("late")))
+    rows = more.select("node", "list", F.lit(1).alias("late"))
+    rows = rows if lists is None else lists.select("node", "list", F.lit(0).alias("late")).unionByName(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, before, now = None, b"", b""
-
-        def told() -> tuple:
-            new = np.setdiff1d(np.frombuffer(now, ENTRY)["id"], np.frombuffer(before, ENTRY)["id"])
-            return node, now, len(new)
-        for b in batches:
-            out = []
-            for n, entries, late in zip(*(b.column(c).to_pylist() for c in range(3))):
-                if n != node:
-                    if node is not None:
-                        out.append(told())
-                    node, before, now = n, b"" if late else entries, b""
-                now = best_of([now, entries], n, k).tobytes()
-            yield batch_of("node long, list binary, changed int", out)
-        if node is not None:
-            yield batch_of("node long, list binary, changed int", [told()])
+        for b in whole_keys(batches):
+            keys, late = b.column(0).to_numpy(), b.column(2).to_numpy()
+            own = keys[runs_of(keys)[:-1]]
+            node, entries = entries_in(keys, b.column(1))
+            was = np.repeat(late == 0, np.diff(values_of(b.column(1))[1]) // ENTRY.itemsize)
+            now, best = best_entries(node, entries["id"], entries["score"], k)
+            # an entry is kept if (node, id) was in the list before: equal neighbours once both are sorted
+            both = np.concatenate([node[was], now]), np.concatenate([entries["id"][was], best["id"]])
+            order = np.lexsort((both[1], both[0]))
+            twice = np.flatnonzero((both[0][order][1:] == both[0][order][:-1]) & (both[1][order][1:] == both[1][order][:-1]))
+            kept = np.bincount(np.searchsorted(own, both[0][order][twice]), minlength=len(own))
+            counts = np.bincount(np.searchsorted(own, now), minlength=len(own))
+            yield pa.RecordBatch.from_pydict({"node": own, "list": binary_of(best, counts), "changed": (counts - kept).astype(np.int32)})
     return rows.repartition("node").sortWithinPartitions("node", "late").mapInArrow(run, "node long, list binary, changed int")
 
 
 def build_graph(vectors: DataFrame, k: int = K, chunk: int | None = None) -> DataFrame:
     """Neighbour lists (node, list) of packed vectors (node, vec), by NN-descent."""
-    # two draws of chunks: lists of one draw alone would never lead out of their chunk
-    n, chunk = vectors.count(), chunk or CHUNK
-    lists = materialize(merged(first_lists(vectors, k, chunk, 0, n), first_lists(vectors, k, chunk, 1, n), k).select("node", "list"), "nn-lists")
+    n = vectors.count()
+    chunk = chunk or min(CHUNK, max(LEAST, n // SHARE))
+    lists = materialize(merged(None, first_lists(vectors, k, chunk, n), k).select("node", "list"), "nn-lists")
     # lists only get better, so this ends
     while True:
-        new = materialize(merged(lists, updates(neighbourhoods(lists, vectors, k), SENT), k), "nn-lists")
+        new = materialize(merged(lists, updates(neighbourhoods(lists, vectors, k, BACK), k, SENT), k), "nn-lists")
         changed, n = new.agg(F.sum("changed"), F.count("*")).first()  # one row
         lists = new.select("node", "list")
         if not n or changed <= FEW_CHANGES * k * n:
@@ -247,64 +356,114 @@ def build_graph(vectors: DataFrame, k: int = K, chunk: int | None = None) -> Dat
 
 # --- search ---
 
+def gathered(around: DataFrame) -> DataFrame:
+    """center, ids, vecs: a row for each neighbourhood."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_keys(batches):
+            center, ids, raw, _ = members_in(b)
+            runs = runs_of(center)
+            yield pa.RecordBatch.from_pydict({"center": center[runs[:-1]], "ids": binary_of(ids, np.diff(runs)), "vecs": binary_of(raw, np.diff(runs))})
+    return around.mapInArrow(run, "center long, ids binary, vecs binary")
+
+
 STATE = "query long, vec binary, beam binary, done binary, open int"
+ASKED = "center long, query long, worst float, vecs binary"
+FLUSH = 1 << 19
+#: Up to so many open nodes are broadcast, so that only their neighbourhoods are shuffled.
+FEW_ASKED = 1 << 18
+
+
+def open_nodes(beam: np.ndarray, done: np.ndarray) -> np.ndarray:
+    return beam["id"][~np.isin(beam["id"], done)]
+
+
+def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield batch_of(STATE, [(q, v, x, np.array([q]).tobytes(), len(x) // ENTRY.itemsize) for q, v, x in zip(*(b.column(c).to_pylist() for c in range(3)))])
+
+
+def frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each open node of each beam: what is to be expanded, and the score to beat."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            b = whole.slice(at, 256)
+            centers, worst = [], []
+            for x, done in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                beam = np.frombuffer(x, ENTRY)
+                centers.append(open_nodes(beam, np.frombuffer(done, np.int64)))
+                worst.append(beam["score"][-1] if len(beam) >= BEAM else -np.inf)
+            row = np.repeat(np.arange(b.num_rows), [len(c) for c in centers])
+            yield pa.RecordBatch.from_pydict({"center": np.concatenate(centers), "query": b.column(0).to_numpy()[row], "worst": np.array(worst, np.float32)[row], "vecs": b.column(1).take(pa.array(row))})
+
+
+def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members that beat the worst of a beam, by query.  A center's neighbourhood comes first, then the queries that ask for it."""
+    held, ids, x, found, count = None, None, None, [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        center, query, worst = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        (raw, ends), (listed, at) = values_of(b.column(3)), values_of(b.column(4))
+        runs = runs_of(center).tolist()
+        for a, e in zip(runs[:-1], runs[1:]):
+            if at[a + 1] > at[a]:
+                held, ids = center[a], listed[at[a]:at[a + 1]].view(np.int64)
+                x = unpack_vectors(raw[ends[a]:ends[a + 1]], len(ids))
+                a += 1
+            if a < e and held == center[a]:
+                s = x @ unpack_vectors(raw[ends[a]:ends[e]], e - a).T
+                r, c = np.nonzero(s > worst[a:e])
+                found.append((query[a:e][c], ids[r], s[r, c]))
+                count += len(r)
+        if count > FLUSH:
+            yield list_batch(*best_entries(*(np.concatenate(f) for f in zip(*found)), BEAM)).rename_columns(["query", "beam"])
+            found, count = [], 0
+    if count:
+        yield list_batch(*best_entries(*(np.concatenate(f) for f in zip(*found)), BEAM)).rename_columns(["query", "beam"])
+
+
+def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state of each query after its open nodes are expanded: its row before comes first, then what was found."""
+    for b in whole_keys(batches):
+        query, vec, done, out = b.column(0).to_numpy(), b.column(2), b.column(4), []
+        (raw, ends), runs = values_of(b.column(3)), runs_of(b.column(0).to_numpy()).tolist()
+        for a, e in zip(runs[:-1], runs[1:]):
+            both = raw[ends[a]:ends[e]].view(ENTRY)
+            seen = np.frombuffer(done[a].as_py(), np.int64)
+            seen = np.concatenate([seen, open_nodes(raw[ends[a]:ends[a + 1]].view(ENTRY), seen)])
+            _, beam = best_entries(np.full(len(both), query[a]), both["id"], both["score"], BEAM)
+            out.append((int(query[a]), vec[a].as_py(), beam.tobytes(), seen.tobytes(), len(open_nodes(beam, seen))))
+        yield batch_of(STATE, out)
 
 
 def greedy_search(queries: DataFrame, lists: DataFrame, vectors: DataFrame, around: DataFrame) -> DataFrame:
-    """query, beam: the best nodes found.  queries: node; around: neighbourhoods of the graph."""
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield batch_of(STATE, [(q, v, x, np.array([q]).tobytes(), 1) for q, v, x in zip(*(b.column(c).to_pylist() for c in range(3)))])
+    """query, beam: the best nodes found.  queries: node; around: gathered neighbourhoods of the graph."""
     state = materialize(queries.join(vectors, "node").join(lists, "node").select("node", "vec", "list").mapInArrow(start, STATE), "nn-search")
-    # every round expands a node more of each query that is still open, so this ends
-    while True:
-        def frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = []
-                for q, v, x, done in zip(*(b.column(c).to_pylist() for c in range(4))):
-                    beam = np.frombuffer(x, ENTRY)
-                    ids = beam["id"][:BEAM]
-                    ids = ids[~np.isin(ids, np.frombuffer(done, np.int64))][:EXPANDED]
-                    worst = float(beam["score"][KEPT - 1]) if len(beam) >= KEPT else float("-inf")
-                    out += [(int(c), q, v, worst) for c in ids]
-                yield batch_of("center long, query long, vec binary, worst float", out)
-        asked = state.select("query", "vec", "beam", "done").mapInArrow(frontier, "center long, query long, vec binary, worst float")
-
-        def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = []
-                x = unpack_vectors(b.column(2).to_pylist()) if b.num_rows else None
-                for r, (ids, near, _) in enumerate(unpacked_members(b.column(4))):
-                    s = near @ x[r]
-                    good = s > b.column(3)[r].as_py()
-                    q = b.column(1)[r].as_py()
-                    out.append((q, b.column(0)[r].as_py(), pack_list(ids[good], s[good])))
-                yield batch_of("query long, center long, list binary", out)
-        found = asked.join(around, "center").select("center", "query", "vec", "worst", "members").mapInArrow(expand, "query long, center long, list binary")
-        gathered = found.groupBy("query").agg(F.collect_list("list").alias("lists"), F.collect_list("center").alias("centers"))  # at most EXPANDED each
-
-        def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = []
-                for q, v, x, done, more, centers in zip(*(b.column(c).to_pylist() for c in range(6))):
-                    beam = best_of([x, *(more or [])], q, KEPT)
-                    seen = np.union1d(np.frombuffer(done, np.int64), np.array(centers or [], np.int64))
-                    out.append((q, v, beam.tobytes(), seen.tobytes(), int((~np.isin(beam["id"][:BEAM], seen)).sum())))
-                yield batch_of(STATE, out)
-        state = materialize(state.join(gathered, "query", "left").select("query", "vec", "beam", "done", "lists", "centers").mapInArrow(advance, STATE), "nn-search")
-        if not (state.agg(F.sum("open")).first()[0] or 0):  # one row
-            break
-    return state.select("query", "beam")
+    ended = state.filter("open = 0").select("query", "beam")
+    # every round expands all open nodes of each query that has any, and a node is expanded once, so this ends
+    while left := state.agg(F.sum("open")).first()[0] or 0:  # one row
+        state = state.filter("open > 0")
+        asked = state.select("query", "vec", "beam", "done").mapInArrow(
+            frontier, ASKED)
+        some = around.join(F.broadcast(asked.select("center").distinct()), "center", "left_semi") if left <= FEW_ASKED else around
+        none = F.lit(None)
+        met = some.select("center", none.cast("long").alias("query"), none.cast("float").alias("worst"), "vecs", "ids", F.lit(0).alias("late")).unionByName(
+            asked.select("center", "query", "worst", "vecs", F.lit(b"").alias("ids"), F.lit(1).alias("late")))
+        found = met.repartition("center").sortWithinPartitions("center", "late").mapInArrow(expand, "query long, beam binary")
+        rows = state.select("query", F.lit(0).alias("late"), "vec", "beam", "done").unionByName(found.select("query", F.lit(1).alias("late"), none.cast("binary").alias("vec"), "beam", none.cast("binary").alias("done")))
+        state = materialize(rows.repartition("query").sortWithinPartitions("query", "late").mapInArrow(advance, STATE), "nn-search")
+        ended = ended.unionByName(state.filter("open = 0").select("query", "beam"))
+    return ended
 
 
 def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, top: int = TOP, chunk: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of every row whose id is divisible by `every`."""
-    rows = materialize(usable(vectors, id_column, vector_column).distinct(), "nn-rows")
-    nodes, members = (materialize(x, "nn-nodes") for x in nodes_of(rows, top))
+    rows = usable(vectors, id_column, vector_column)
+    nodes, members = nodes_of(rows, top)
     small = materialize(packed(nodes), "nn-vectors")
     lists = build_graph(small, chunk=chunk)
-    around = materialize(neighbourhoods(lists, small, K), "nn-around")
-    asked = rows.filter(F.col("vec_id") % every == 0).join(nodes, "vector").select(F.col("vec_id").alias("query_id"), "node")
+    around = materialize(gathered(neighbourhoods(lists, small, K, BACK_SEARCH)), "nn-around")
+    asked = rows.filter(F.col("vec_id") % every == 0).distinct().join(nodes, "vector").select(F.col("vec_id").alias("query_id"), "node")
     beams = greedy_search(asked.select("node").distinct(), lists, small, around)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

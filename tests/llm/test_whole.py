@@ -44,3 +44,30 @@ def test_nearest_small_chunks(spark):
         s[q] = -np.inf
         hit += len(found & set(np.argsort(-s)[:20].tolist()))
     assert hit >= 0.98 * 20 * len(got)
+
+
+def test_nearest_near_copies(spark, monkeypatch):
+    """A third of the vectors lie in one cell of the pivots; the descent ends after a few rounds and rows of one key come in several batches."""
+    rnd = np.random.RandomState(9)
+    x = rnd.randn(3_000, 48).astype(np.float32)
+    x[::3] = x[0] + 0.05 * rnd.randn(1_000, 48).astype(np.float32)
+    table = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    stages, plain = Counter(), neighbours.materialize
+    monkeypatch.setattr(neighbours, "materialize", lambda df, name: (stages.update([name]), plain(df, name))[1])
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "50")
+    try:
+        got = {}
+        for r in neighbours.nearest(table, every=60, chunk=60).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+    finally:
+        spark.conf.set(batch, before)
+    assert set(got) == set(range(0, 3_000, 60))
+    hit = 0
+    for q, found in got.items():
+        s = x.astype(np.float64) @ x[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.98 * 20 * len(got)
+    assert 2 <= stages["nn-lists"] <= 5, stages
